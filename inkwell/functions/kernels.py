@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 CHUNK_TOKENS = 200_000
@@ -143,10 +144,32 @@ def _tokens_per_doc(per_sentence, per_doc):
     return np.diff(ends[np.concatenate([[0], np.cumsum(per_doc)])])
 
 
+def column_kernel(returns):
+    """An Arrow UDF the optimizer leaves where it is.
+
+    Declared non-deterministic only so that filters and projections on its result are
+    never rewritten into second calls of it; the kernels themselves are deterministic.
+    """
+
+    def declare(function):
+        return arrow_udf(function, returnType=returns).asNondeterministic()
+
+    return declare
+
+
+def on_columns(kernel, *names):
+    """``kernel`` on named columns, NULL for a NULL first column.
+
+    Naming a column twice keeps the optimizer from folding the expression behind it into
+    the kernel call, so the kernel's input is computed once, in the step below.
+    """
+    return F.when(F.size(names[0]) >= 0, kernel(*names))
+
+
 def sentence_ranker(alpha=0.85, max_iter=100, tol=1e-6):
     """Column function: word lists of a document's sentences -> score of each sentence."""
 
-    @arrow_udf("array<double>")
+    @column_kernel("array<double>")
     def rank(words: pa.Array) -> pa.Array:
         flat, _, all_per_doc = _nested(words)
         results = []
@@ -170,7 +193,7 @@ def word_ranker(window=2, alpha=0.85, max_iter=100, tol=1e-6):
     Scores follow the order in which the words first appear in the vertex lists.
     """
 
-    @arrow_udf("array<double>")
+    @column_kernel("array<double>")
     def rank(vertices: pa.Array, edges: pa.Array) -> pa.Array:
         _, lengths, per_doc = _nested(edges)
         results, counts = [], []

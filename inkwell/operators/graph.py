@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import kernels, text
 from inkwell.operators.joins import SHARD_ROWS, join_counted, shards_for
 from inkwell.operators.tokens import word_graph_edges, word_vertices
-from inkwell.session import enable_checkpoints, materialize
+from inkwell.session import enable_checkpoints, materialize, planned_layout
 
 TIE_DIGITS = 9
 
@@ -81,19 +81,22 @@ def score_sentences(
         )
     rank = kernels.sentence_ranker(alpha, max_iter, tol)
     split = docs.select("doc_id", text.sentences(content, delimiters).alias("sentences"), words.alias("words"))
-    scored = split.select("doc_id", "sentences", rank("words").alias("scores"))
+    scored = split.select("doc_id", "sentences", kernels.on_columns(rank, "words").alias("scores"))
     return scored.select("doc_id", in_order(F.col("scores"), F.col("sentences")).alias("ranked"))
 
 
 def in_order(scores: Column, sentences: Column) -> Column:
-    items = F.zip_with(scores, sentences, lambda weight, sentence: F.struct(weight, sentence))
+    """Items by descending score, ties (to ``TIE_DIGITS`` places) by position; arrays sort structs field by field."""
+    items = F.zip_with(
+        scores, sentences, lambda weight, item: F.struct(weight.alias("weight"), item.alias("sentence"))
+    )
     keyed = F.transform(
         items,
         lambda item, idx: F.struct(
-            (-F.round(item["col1"], TIE_DIGITS)).alias("order"),
+            (-F.round(item["weight"], TIE_DIGITS)).alias("order"),
             idx.alias("idx"),
-            item["col2"].alias("sentence"),
-            item["col1"].alias("weight"),
+            item["sentence"].alias("sentence"),
+            item["weight"].alias("weight"),
         ),
     )
     return F.transform(
@@ -125,7 +128,7 @@ def score_words(
     scored = word_lists.select(
         "doc_id",
         F.array_distinct(F.flatten(vertex_col)).alias("words"),
-        rank(vertex_col, edge_col).alias("scores"),
+        kernels.on_columns(rank, vertex_col, edge_col).alias("scores"),
     )
     ranked = scored.select("doc_id", F.inline(in_order(F.col("scores"), F.col("words"))))
     return ranked.select("doc_id", F.col("sentence").alias("word"), "weight", "rank")
@@ -159,7 +162,6 @@ def pagerank(
     alpha: float = 0.85,
     max_iter: int = 100,
     tol: float = 1e-6,
-    checkpoint_every: int = 5,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """Distributed PageRank of undirected graphs: ``(graph, node, score)``.
@@ -173,62 +175,79 @@ def pagerank(
     ``shard_rows`` is a hub: its links are split over shards by target and its score row
     is repeated per shard. One round joins scores to links and adds up per target, with
     map-side combine, so a hub's incoming links shuffle as one partial sum per partition.
-    A node without links only ever receives the even shares, which are the same for all
-    such nodes of a graph, so the dangling mass travels as a column instead of a global sum.
+    Nodes and links are laid out by their join keys once, before the first round; without
+    hubs the two layouts agree, and the partial sums are a round's only shuffle.
+
+    A node without links only ever receives the even share, the same as every other such
+    node of its graph, so the dangling mass travels as a column and is never summed up.
+    Each round ends in a checkpoint of the node table: the plan stays one round long, and
+    a lost executor costs at most one round.
     """
-    spark = nodes.sparkSession
-    enable_checkpoints(spark)
+    enable_checkpoints(nodes.sparkSession)
     out = links.groupBy("graph", "src").agg(F.sum("weight").alias("out"), F.count("*").alias("links"))
     out = out.withColumn("shards", shards_for(F.col("links"), shard_rows))
     state = nodes.join(out.withColumnRenamed("src", "node"), ["graph", "node"], "left").select(
         "graph", "node", F.coalesce("shards", F.lit(0)).alias("shards")
     )
     sizes = state.groupBy("graph").agg(F.count("*").alias("n"), F.count_if(F.col("shards") == 0).alias("loose"))
-    state = join_counted(state, sizes, "graph", "node", F.col("n"), shard_rows).select(
-        "*", (1 / F.col("n")).alias("score"), (1 / F.col("n")).alias("loose_score"), F.lit(False).alias("finished")
-    )
-    state = materialize(state, "rank-state")
-    links = materialize(
-        links.join(out, ["graph", "src"]).select(
-            "graph", "src", "dst",
+    sized = materialize(join_counted(state, sizes, "graph", "node", F.col("n"), shard_rows), "rank-nodes")
+    shared = materialize(
+        join_counted(
+            links.withColumnRenamed("src", "node").withColumn("_end", F.struct("graph", "node")),
+            out.select(F.struct("graph", F.col("src").alias("node")).alias("_end"), "out", "shards", "links"),
+            "_end", "dst", F.col("links"), shard_rows,
+        ).select(
+            "graph", F.col("node").alias("src"), "dst",
             (F.col("weight") / F.col("out")).alias("share"),
             F.expr("pmod(xxhash64(dst), shards)").cast("int").alias("shard"),
         ),
         "rank-links",
     )
-    links = links.repartition("graph", "src", "shard").persist()
-    for done in range(1, max_iter + 1):
-        state = _round(state, links, alpha)
+    hubs = not sized.where("shards > 1").isEmpty()
+    link_key = ["graph", "src", "shard"] if hubs else ["graph", "src"]
+    with planned_layout(nodes.sparkSession):
+        return _iterate(sized, shared, link_key, alpha, max_iter, tol, shard_rows)
+
+
+def _iterate(nodes, links, link_key, alpha, max_iter, tol, shard_rows) -> DataFrame:
+    partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = links.repartition(partitions, *link_key).persist()
+    start = 1 / F.col("n")
+    state = nodes.repartition(partitions, "graph", "node").select(
+        "*", start.alias("score"), start.alias("even"), F.lit(False).alias("finished")
+    )
+    for _ in range(max_iter):
+        state = _moved(state, _received(state, links, link_key), alpha).checkpoint()
         if tol > 0:
-            state = state.checkpoint()
-            changed = state.groupBy("graph").agg(
-                F.max("n").alias("rows"), F.sum(F.abs(F.col("score") - F.col("previous"))).alias("change")
-            )
-            changed = changed.withColumn("still", F.col("change") >= F.col("rows") * tol)
-            if changed.where("still").limit(1).count() == 0:
+            change = F.sum(F.abs(F.col("score") - F.col("previous")))
+            changed = state.groupBy("graph").agg(F.max("n").alias("rows"), change.alias("change"))
+            settled = changed.select("graph", "rows", (F.col("change") < F.col("rows") * tol).alias("finished"))
+            if settled.where("not finished").isEmpty():
                 break
-            state = join_counted(state, changed, "graph", "node", F.col("rows"), shard_rows)
-            state = state.withColumn("finished", ~F.col("still"))
-        elif done % checkpoint_every == 0 and done < max_iter:
-            state = state.checkpoint()
+            state = join_counted(state.drop("finished"), settled, "graph", "node", F.col("rows"), shard_rows)
     result = materialize(state.select("graph", "node", "score"), "rank-scores")
     links.unpersist()
     return result
 
 
-def _round(state: DataFrame, links: DataFrame, alpha: float) -> DataFrame:
-    """One step: links pass scores on, then every node adds what it received to the even share."""
-    shards = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
-    sources = state.where("shards > 0").select("graph", F.col("node").alias("src"), "score", shards)
-    received = links.join(sources, ["graph", "src", "shard"]).select(
-        "graph", F.col("dst").alias("node"), (F.col("score") * F.col("share")).alias("received")
+def _received(state: DataFrame, links: DataFrame, link_key: list[str]) -> DataFrame:
+    """What each node is passed over its links, as sums per target."""
+    sources = state.where("shards > 0").withColumnRenamed("node", "src")
+    if "shard" in link_key:
+        sources = sources.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    passed = links.join(sources.select(*link_key, "score"), link_key).select(
+        "graph", F.col("dst").alias("node"), (F.col("score") * F.col("share")).alias("passed")
     )
-    received = received.groupBy("graph", "node").agg(F.sum("received").alias("received"))
-    even = (alpha * F.col("loose") * F.col("loose_score") + (1 - alpha)) / F.col("n")
-    moved = alpha * F.coalesce("received", F.lit(0.0)) + even
+    return passed.groupBy("graph", "node").agg(F.sum("passed").alias("received"))
+
+
+def _moved(state: DataFrame, received: DataFrame, alpha: float) -> DataFrame:
+    """One round; a graph that has met the tolerance keeps its scores."""
+    even = (alpha * F.col("loose") * F.col("even") + (1 - alpha)) / F.col("n")
+    score = alpha * F.coalesce("received", F.lit(0.0)) + even
     return state.join(received, ["graph", "node"], "left").select(
         "graph", "node", "shards", "n", "loose", "finished",
         F.col("score").alias("previous"),
-        F.when(F.col("finished"), F.col("score")).otherwise(moved).alias("score"),
-        even.alias("loose_score"),
+        F.when(F.col("finished"), F.col("score")).otherwise(score).alias("score"),
+        even.alias("even"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions import han, text
+from inkwell.functions.kernels import column_kernel
 
 
 def tokenize(docs: DataFrame, **options) -> DataFrame:
@@ -149,7 +150,7 @@ def segment_runs(docs: DataFrame, lexicon: DataFrame, token_class: str = "refere
         F.collect_list(F.struct("start", "match.size", "match.tag")).alias("matches")
     )
 
-    @F.arrow_udf(han.PIECES)
+    @column_kernel(han.PIECES)
     def walk(run_col: pa.Array, match_col: pa.Array) -> pa.Array:
         rows = []
         for run, found in zip(run_col.to_pylist(), match_col.to_pylist()):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -52,3 +53,18 @@ def ship_kernels() -> None:
     for name in ("inkwell.functions.kernels", "inkwell.functions.han"):
         __import__(name)
         cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
+@contextmanager
+def planned_layout(spark: SparkSession):
+    """Plan joins as laid out, without runtime re-planning, inside the block.
+
+    For loops over tables already partitioned and sharded by key: re-planning would
+    forget their partitioning at every checkpoint and shuffle them again each round.
+    """
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
