@@ -10,7 +10,7 @@ from inkwell.functions.stopwords import default_stop_words
 from inkwell.operators import aggregates, features, graph, similarity, tokens, topics
 from inkwell.plans import clustering, corpora, summaries, topic_modelling
 from inkwell.plans.similarity import nearest_documents
-from inkwell.session import scratch_path
+from inkwell.session import materialize, scratch_path
 from inkwell.sources import corpus
 from inkwell.sources.vectors import read_vector_csv, write_vector_csv
 
@@ -246,7 +246,7 @@ def tfidf(spark, sf_dir):
 
 
 def _counted(spark, sf_dir):
-    docs = tokenized(spark, sf_dir)
+    docs = materialize(tokenized(spark, sf_dir), "tokens")
     model = features.count_vectorizer().fit(docs)
     return model.transform(docs), model.vocabulary
 
@@ -286,7 +286,7 @@ def word_vectors(spark, sf_dir):
 
 
 def list_concat_by_key(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = corpus.spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "doc_id")
     lists = docs.select("source", "doc_id", text.document_tokens(F.col("text"), **TOKENS).alias("tokens"))
     joined_lists = aggregates.concat_lists(lists, "source", "tokens", "doc_id")
     return joined_lists.select("source", "part", F.size("tokens").alias("n_tokens"), joined("tokens").alias("tokens"))

@@ -171,12 +171,13 @@ def pagerank(
     its L1 change is below ``tol`` times its node count, and ``tol=0`` runs ``max_iter``
     rounds.
 
-    Every link stores its share of the source's weight. A node with more links than
-    ``shard_rows`` is a hub: its links are split over shards by target and its score row
-    is repeated per shard. One round joins scores to links and adds up per target, with
-    map-side combine, so a hub's incoming links shuffle as one partial sum per partition.
-    Nodes and links are laid out by their join keys once, before the first round; without
-    hubs the two layouts agree, and the partial sums are a round's only shuffle.
+    Nodes get numeric ids first, so a round moves and compares longs only. Every link
+    stores its share of the source's weight. A node with more links than ``shard_rows``
+    is a hub: its links are split over shards by target and its score row is repeated per
+    shard. One round joins scores to links and adds up per target, with map-side combine,
+    so a hub's incoming links shuffle as one partial sum per partition. Links are laid out
+    and sorted by their join key once, before the first round; without hubs the node table
+    has the same layout, and the partial sums are a round's only shuffle.
 
     A node without links only ever receives the even share, the same as every other such
     node of its graph, so the dangling mass travels as a column and is never summed up.
@@ -184,36 +185,39 @@ def pagerank(
     a lost executor costs at most one round.
     """
     enable_checkpoints(nodes.sparkSession)
-    out = links.groupBy("graph", "src").agg(F.sum("weight").alias("out"), F.count("*").alias("links"))
-    out = out.withColumn("shards", shards_for(F.col("links"), shard_rows))
-    state = nodes.join(out.withColumnRenamed("src", "node"), ["graph", "node"], "left").select(
-        "graph", "node", F.coalesce("shards", F.lit(0)).alias("shards")
+    end = F.struct("graph", "node").alias("end")
+    out = links.groupBy("graph", F.col("src").alias("node")).agg(F.sum("weight").alias("out"), F.count("*").alias("links"))
+    # Written down before it is used twice, which also fixes the ids.
+    numbered = materialize(
+        nodes.join(out, ["graph", "node"], "left")
+        .withColumn("shards", F.when(F.col("links") > 0, shards_for(F.col("links"), shard_rows)).otherwise(0))
+        .withColumn("id", F.monotonically_increasing_id()),
+        "rank-numbered",
     )
-    sizes = state.groupBy("graph").agg(F.count("*").alias("n"), F.count_if(F.col("shards") == 0).alias("loose"))
-    sized = materialize(join_counted(state, sizes, "graph", "node", F.col("n"), shard_rows), "rank-nodes")
-    shared = materialize(
-        join_counted(
-            links.withColumnRenamed("src", "node").withColumn("_end", F.struct("graph", "node")),
-            out.select(F.struct("graph", F.col("src").alias("node")).alias("_end"), "out", "shards", "links"),
-            "_end", "dst", F.col("links"), shard_rows,
-        ).select(
-            "graph", F.col("node").alias("src"), "dst",
-            (F.col("weight") / F.col("out")).alias("share"),
-            F.expr("pmod(xxhash64(dst), shards)").cast("int").alias("shard"),
-        ),
-        "rank-links",
+    sizes = numbered.groupBy("graph").agg(F.count("*").alias("n"), F.count_if(F.col("shards") == 0).alias("loose"))
+    state = join_counted(
+        numbered.select("id", "graph", "shards"), sizes, "graph", "id", F.col("n"), shard_rows
+    )
+    ends = numbered.where("shards > 0").select(end, "id", "out", "shards", "links")
+    by_source = links.select(F.struct("graph", F.col("src").alias("node")).alias("end"), "graph", "dst", "weight")
+    by_target = join_counted(by_source, ends, "end", "dst", F.col("links"), shard_rows).select(
+        F.struct("graph", F.col("dst").alias("node")).alias("end"),
+        F.col("id").alias("src"), (F.col("weight") / F.col("out")).alias("share"), F.col("shards").alias("src_shards"),
     )
-    hubs = not sized.where("shards > 1").isEmpty()
-    link_key = ["graph", "src", "shard"] if hubs else ["graph", "src"]
+    numbered_links = join_counted(by_target, ends, "end", "src", F.col("links"), shard_rows).select(
+        "src", F.col("id").alias("dst"), "share", F.expr("pmod(xxhash64(id), src_shards)").cast("int").alias("shard")
+    )
+    link_key = ["src"] if numbered.where("shards > 1").isEmpty() else ["src", "shard"]
     with planned_layout(nodes.sparkSession):
-        return _iterate(sized, shared, link_key, alpha, max_iter, tol, shard_rows)
+        scores = _iterate(state, numbered_links, link_key, alpha, max_iter, tol, shard_rows)
+    return numbered.select("id", "graph", "node").join(scores, "id").select("graph", "node", "score")
 
 
 def _iterate(nodes, links, link_key, alpha, max_iter, tol, shard_rows) -> DataFrame:
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = links.repartition(partitions, *link_key).persist()
+    links = materialize(links, "rank-links").repartition(partitions, *link_key).sortWithinPartitions(*link_key).persist()
     start = 1 / F.col("n")
-    state = nodes.repartition(partitions, "graph", "node").select(
+    state = nodes.repartition(partitions, "id").select(
         "*", start.alias("score"), start.alias("even"), F.lit(False).alias("finished")
     )
     for _ in range(max_iter):
@@ -224,29 +228,29 @@ def _iterate(nodes, links, link_key, alpha, max_iter, tol, shard_rows) -> DataFr
             settled = changed.select("graph", "rows", (F.col("change") < F.col("rows") * tol).alias("finished"))
             if settled.where("not finished").isEmpty():
                 break
-            state = join_counted(state.drop("finished"), settled, "graph", "node", F.col("rows"), shard_rows)
-    result = materialize(state.select("graph", "node", "score"), "rank-scores")
+            state = join_counted(state.drop("finished"), settled, "graph", "id", F.col("rows"), shard_rows)
+    result = materialize(state.select("id", "score"), "rank-scores")
     links.unpersist()
     return result
 
 
 def _received(state: DataFrame, links: DataFrame, link_key: list[str]) -> DataFrame:
     """What each node is passed over its links, as sums per target."""
-    sources = state.where("shards > 0").withColumnRenamed("node", "src")
+    sources = state.where("shards > 0").withColumnRenamed("id", "src")
     if "shard" in link_key:
         sources = sources.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     passed = links.join(sources.select(*link_key, "score"), link_key).select(
-        "graph", F.col("dst").alias("node"), (F.col("score") * F.col("share")).alias("passed")
+        F.col("dst").alias("id"), (F.col("score") * F.col("share")).alias("passed")
     )
-    return passed.groupBy("graph", "node").agg(F.sum("passed").alias("received"))
+    return passed.groupBy("id").agg(F.sum("passed").alias("received"))
 
 
 def _moved(state: DataFrame, received: DataFrame, alpha: float) -> DataFrame:
     """One round; a graph that has met the tolerance keeps its scores."""
     even = (alpha * F.col("loose") * F.col("even") + (1 - alpha)) / F.col("n")
     score = alpha * F.coalesce("received", F.lit(0.0)) + even
-    return state.join(received, ["graph", "node"], "left").select(
-        "graph", "node", "shards", "n", "loose", "finished",
+    return state.join(received, "id", "left").select(
+        "id", "graph", "shards", "n", "loose", "finished",
         F.col("score").alias("previous"),
         F.when(F.col("finished"), F.col("score")).otherwise(score).alias("score"),
         even.alias("even"),
