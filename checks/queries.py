@@ -247,7 +247,7 @@ def tfidf(spark, sf_dir):
 
 def _counted(spark, sf_dir):
     docs = materialize(tokenized(spark, sf_dir), "tokens")
-    model = features.count_vectorizer().fit(docs)
+    model = features.fit_counts(docs)
     return model.transform(docs), model.vocabulary
 
 

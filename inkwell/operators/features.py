@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +43,21 @@ def tfidf(tokenized: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     )
 
 
-def count_vectorizer(vocab_size: int = VOCABULARY, min_df: float = 1.0, output: str = "features") -> CountVectorizer:
-    """Counts over the ``vocab_size`` most frequent terms; the vocabulary's size is what bounds the driver."""
-    return CountVectorizer(inputCol="tokens", outputCol=output, vocabSize=vocab_size, minDF=min_df)
+def fit_counts(
+    tokenized: DataFrame, vocab_size: int = VOCABULARY, min_df: int = 1, output: str = "features"
+) -> CountVectorizerModel:
+    """A count vectoriser over the ``vocab_size`` most frequent terms found in ``min_df`` documents.
+
+    Equal counts are ordered by term, so the same corpus always gets the same vocabulary.
+    Its bounded size is all that reaches the driver.
+    """
+    if min_df > 1:
+        terms = term_frequency(tokenized).groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+        terms = terms.where(F.col("df") >= min_df)
+    else:
+        terms = tokenized.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    kept = terms.orderBy(F.desc("n"), "term").limit(vocab_size).select("term").toPandas()["term"].tolist()
+    return CountVectorizerModel.from_vocabulary(kept or [""], inputCol="tokens", outputCol=output)
 
 
 def hashing_tf(buckets: int = VOCABULARY, output: str = "features") -> HashingTF:

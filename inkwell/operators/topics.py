@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA, DistributedLDAModel, LDAModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions.vectors import argmax
 from inkwell.operators import features
-from inkwell.session import enable_checkpoints, scratch_path
+from inkwell.session import enable_checkpoints
 
 
 def fit_topics(
@@ -23,7 +23,7 @@ def fit_topics(
     max_iter: int = 20,
     seed: int = 1,
     vocab_size: int = features.VOCABULARY,
-    min_df: float = 1.0,
+    min_df: int = 1,
     partitions: int | None = None,
 ) -> PipelineModel:
     """Vectorise, weight and train: a ``PipelineModel`` that takes ``tokens``.
@@ -42,11 +42,11 @@ def fit_topics(
     placed = tokenized.repartition(partitions, "doc_id").sortWithinPartitions("doc_id").persist()
     try:
         if vectorizer == "count":
-            stages = [features.count_vectorizer(vocab_size, min_df)]
+            counts = features.fit_counts(placed, vocab_size, min_df)
         else:
-            stages = [features.hashing_tf(vocab_size)]
-        stages.append(features.idf())
-        prepared = Pipeline(stages=stages).fit(placed)
+            counts = features.hashing_tf(vocab_size)
+        weights = features.idf().fit(counts.transform(placed))
+        prepared = PipelineModel(stages=[counts, weights])
         lda = LDA(
             k=k, seed=seed, optimizer=optimizer, maxIter=max_iter,
             featuresCol="idf" if weighting == "tfidf" else "features",
@@ -106,7 +106,3 @@ def load_model(path: str) -> PipelineModel:
 
 def save_topics(topics: DataFrame, path: str, mode: str = "error") -> None:
     topics.select("topic", "words", "term_weights").write.mode(mode).parquet(path)
-
-
-def scratch_model_path(df: DataFrame) -> str:
-    return scratch_path(df.sparkSession, "model")

@@ -167,7 +167,8 @@ def test_summary_skips_short_sentences_and_keeps_rank_order(spark):
         "doc_id long, content string",
     )
     html = {r["doc_id"]: r["html"] for r in summaries(docs).collect()}
-    assert html[1] == ["alpha beta gamma", "alpha beta delta", "alpha epsilon zeta"]
+    # The sentence that shares nothing keeps its own weight through its self-loop.
+    assert html[1] == ["alpha beta gamma", "alpha beta delta", "lone words here"]
     assert html[2] == []
     ranks = key_sentences(docs, num=9, min_length=1).orderBy("rank").collect()
     assert [r["rank"] for r in ranks] == [1, 2, 3, 4, 5]
@@ -179,6 +180,6 @@ def test_segmented_summaries(spark):
     from inkwell.plans.summaries import summaries
 
     lexicon = spark.createDataFrame([("城市", "n"), ("轨道", "n"), ("交通", "v"), ("的", "uj")], "word string, tag string")
-    docs = spark.createDataFrame([(1, "城市轨道交通建设。无关的一句话。城市的轨道交通规划！")], "doc_id long, content string")
+    docs = spark.createDataFrame([(1, "城市轨道交通建设。的的的的的的。城市的轨道交通规划！")], "doc_id long, content string")
     got = summaries(docs, num=2, segment=han.segmenter(lexicon)).first()["html"]
     assert got == ["城市轨道交通建设", "城市的轨道交通规划"]

@@ -49,7 +49,7 @@ def collections(metric, seed=3):
         right[5] = right[17] = [0.0] * 8
         right[7][2] = right[9][3] = left[4][2] = 0.0
         left[1] = [0.0] * 8
-    return left, right
+    return [[float(x) for x in row] for row in left], [[float(x) for x in row] for row in right]
 
 
 def brute(left, right, k, metric):
