@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import han, text, vectors
 from inkwell.functions.stopwords import default_stop_words
 from inkwell.operators import aggregates, features, graph, similarity, tokens, topics
+from inkwell.operators.rows import exploded, exploded_structs
 from inkwell.plans import clustering, corpora, summaries, topic_modelling
 from inkwell.plans.similarity import nearest_documents
 from inkwell.session import materialize, scratch_path
@@ -247,7 +248,7 @@ def tfidf(spark, sf_dir):
 
 def _counted(spark, sf_dir):
     docs = materialize(tokenized(spark, sf_dir), "tokens")
-    model = features.fit_counts(docs)
+    model = features.count_vectorizer().fit(docs)
     return model.transform(docs), model.vocabulary
 
 
@@ -302,7 +303,7 @@ def sentence_graph_edges(spark, sf_dir):
 
 def textrank_scores(spark, sf_dir):
     ranked = graph.score_sentences(documents(spark, sf_dir), **WORDS, **ROUNDS)
-    rows = ranked.select("doc_id", F.inline("ranked"))
+    rows = exploded_structs(ranked, ["doc_id"], "ranked")
     return rows.select("doc_id", "idx", "sentence", F.round("weight", 9).alias("weight"), "rank")
 
 
@@ -322,7 +323,7 @@ def textrank_custom_similarity(spark, sf_dir):
 
 def token_window_pairs(spark, sf_dir):
     docs = word_lists(spark, sf_dir)
-    sentences = docs.select("doc_id", F.posexplode("words").alias("idx", "words"))
+    sentences = exploded(docs, ["doc_id"], "words", "idx", "words")
     pairs = tokens.window_pairs(sentences, window=3)
     return pairs.groupBy("doc_id", "idx", "distance", "w1", "w2").agg(F.count("*").alias("n"))
 

@@ -1,3 +1,3 @@
-from inkwell.operators import aggregates, clusters, features, graph, joins, similarity, tokens, topics
+from inkwell.operators import aggregates, clusters, features, graph, joins, rows, similarity, tokens, topics
 
-__all__ = ["aggregates", "clusters", "features", "graph", "joins", "similarity", "tokens", "topics"]
+__all__ = ["aggregates", "clusters", "features", "graph", "joins", "rows", "similarity", "tokens", "topics"]

@@ -16,7 +16,8 @@ def concat_lists(df: DataFrame, key: str, values: str, order_by: str, max_items:
     a whole hot key; the parts together are its whole list. Sizes are counted first, with
     map-side combine, and only oversized keys are looked up (at most elements / max_items).
     """
-    lists = df.select(key, order_by, values).where(F.col(values).isNotNull())
+    empty = F.array().cast(df.schema[values].dataType)
+    lists = df.select(key, order_by, F.coalesce(values, empty).alias(values))
     oversized = (
         lists.groupBy(key)
         .agg(F.sum(F.size(values)).alias("_items"))

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, Word2Vec
+from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, Word2Vec
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.joins import SHARD_ROWS, join_counted
+from inkwell.operators.rows import exploded
 
 VOCABULARY = 1 << 18
 
 
 def term_frequency(tokenized: DataFrame) -> DataFrame:
     """``(doc_id, term, tf)``. A document's tokens share a partition, so counting is done map-side."""
-    terms = tokenized.select("doc_id", F.explode("tokens").alias("term"))
+    terms = exploded(tokenized, ["doc_id"], "tokens", "term")
     return terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(tokenized: DataFrame) -> DataFrame:
     """``(term, df)``. Repeats vanish inside each document, so no distinct count is shuffled."""
-    terms = tokenized.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    terms = exploded(tokenized, [], F.array_distinct("tokens"), "term")
     return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -43,21 +44,13 @@ def tfidf(tokenized: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     )
 
 
-def fit_counts(
-    tokenized: DataFrame, vocab_size: int = VOCABULARY, min_df: int = 1, output: str = "features"
-) -> CountVectorizerModel:
-    """A count vectoriser over the ``vocab_size`` most frequent terms found in ``min_df`` documents.
+def count_vectorizer(vocab_size: int = VOCABULARY, min_df: int = 1, output: str = "features") -> CountVectorizer:
+    """Counts over the ``vocab_size`` most frequent terms found in ``min_df`` documents.
 
-    Equal counts are ordered by term, so the same corpus always gets the same vocabulary.
-    Its bounded size is all that reaches the driver.
+    The bounded vocabulary is all that reaches the driver. Terms with equal counts come in
+    no fixed order, so results name terms and never their indices.
     """
-    if min_df > 1:
-        terms = term_frequency(tokenized).groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
-        terms = terms.where(F.col("df") >= min_df)
-    else:
-        terms = tokenized.select(F.explode("tokens").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    kept = terms.orderBy(F.desc("n"), "term").limit(vocab_size).select("term").toPandas()["term"].tolist()
-    return CountVectorizerModel.from_vocabulary(kept or [""], inputCol="tokens", outputCol=output)
+    return CountVectorizer(inputCol="tokens", outputCol=output, vocabSize=vocab_size, minDF=min_df)
 
 
 def hashing_tf(buckets: int = VOCABULARY, output: str = "features") -> HashingTF:
@@ -81,7 +74,7 @@ def bounded_vocabulary(tokenized: DataFrame, max_words: int, tokens_col: str = "
     Word2Vec keeps its vocabulary on the driver. Hashing bounds it without dropping a
     word: words that share a bucket share a vector.
     """
-    words = tokenized.select(F.explode(tokens_col).alias("word"))
+    words = exploded(tokenized, [], tokens_col, "word")
     # Allow for the sketch's error (5 percent standard deviation) well below the bound.
     if words.agg(F.approx_count_distinct("word")).first()[0] <= 0.8 * max_words:
         return tokenized

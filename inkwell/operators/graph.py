@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import kernels, text
 from inkwell.operators.joins import SHARD_ROWS, join_counted, shards_for
+from inkwell.operators.rows import exploded, exploded_structs
 from inkwell.operators.tokens import word_graph_edges, word_vertices
 from inkwell.session import enable_checkpoints, materialize, planned_layout
 
@@ -36,10 +37,8 @@ def sentence_graph_edges(
     ``words`` is ``array<array<string>>``. Sentences meet on the words they share, so the
     work follows the edges there are and never the grid of all pairs.
     """
-    sentences = word_lists.select("doc_id", F.posexplode(words_col).alias("idx", "_words"))
-    words = sentences.select(
-        "doc_id", "idx", F.size("_words").alias("n"), F.explode(F.array_distinct("_words")).alias("word")
-    )
+    sentences = exploded(word_lists, ["doc_id"], words_col, "idx", "_words")
+    words = exploded(sentences, ["doc_id", "idx", F.size("_words").alias("n")], F.array_distinct("_words"), "word")
     a = words.select("doc_id", "word", F.col("idx").alias("src"), F.col("n").alias("n_a"))
     b = words.select("doc_id", "word", F.col("idx").alias("dst"), F.col("n").alias("n_b"))
     pairs = a.join(b, ["doc_id", "word"]).where("src <= dst")
@@ -130,7 +129,7 @@ def score_words(
         F.array_distinct(F.flatten(vertex_col)).alias("words"),
         kernels.on_columns(rank, vertex_col, edge_col).alias("scores"),
     )
-    ranked = scored.select("doc_id", F.inline(in_order(F.col("scores"), F.col("words"))))
+    ranked = exploded_structs(scored, ["doc_id"], in_order(F.col("scores"), F.col("words")))
     return ranked.select("doc_id", F.col("sentence").alias("word"), "weight", "rank")
 
 
@@ -147,7 +146,7 @@ def corpus_word_graph(word_lists: DataFrame, words_col: str = "words", window: i
 
 def sentence_graph(word_lists: DataFrame, words_col: str = "words", similarity=shared_words_similarity):
     """Vertices and both directions of every edge of each document's sentence graph, for ``pagerank``."""
-    nodes = word_lists.select(F.col("doc_id").alias("graph"), F.posexplode(words_col).alias("node", "_"))
+    nodes = exploded(word_lists, [F.col("doc_id").alias("graph")], words_col, "node", "_words")
     edges = sentence_graph_edges(word_lists, words_col, similarity)
     ends = F.when(F.col("src") == F.col("dst"), F.array(F.struct("src", "dst"))).otherwise(
         F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import han, text
 from inkwell.functions.kernels import column_kernel
+from inkwell.operators.rows import exploded, exploded_structs
 
 
 def tokenize(docs: DataFrame, **options) -> DataFrame:
@@ -24,7 +25,7 @@ def tokenize(docs: DataFrame, **options) -> DataFrame:
 
 def token_rows(tokenized: DataFrame) -> DataFrame:
     """One row per token: ``(doc_id, pos, token)``."""
-    return tokenized.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return exploded(tokenized, ["doc_id"], "tokens", "pos", "token")
 
 
 def without_stop_words(rows: DataFrame, stop_words: DataFrame, token: str = "token") -> DataFrame:
@@ -36,21 +37,19 @@ def with_allowed_tags(rows: DataFrame, lexicon: DataFrame, allowed_tags=text.ALL
     """Token rows whose tag is allowed.
 
     A token's tag comes from the lexicon ``(word, tag)``; a token the lexicon does not
-    list is ``eng`` if it is an ASCII word and has no tag otherwise. Listed tokens are
-    kept by a semi-join, unlisted ones by an anti-join and a pattern.
+    list is ``eng`` if it is an ASCII word and has no tag otherwise. The lexicon is
+    reduced to one row per word, so a single outer join decides both cases.
     """
-    words = lexicon.select(F.col("word").alias("token"), "tag")
-    listed = rows.join(words.where(F.col("tag").isin(list(allowed_tags))), "token", "left_semi")
-    if "eng" not in allowed_tags:
-        return listed
-    ascii_words = rows.where(F.col("token").rlike("^[A-Za-z][A-Za-z0-9]*$"))
-    return listed.unionByName(ascii_words.join(words, "token", "left_anti"))
+    listed = lexicon.groupBy(F.col("word").alias("token")).agg(
+        F.bool_or(F.col("tag").isin(list(allowed_tags))).alias("_listed")
+    )
+    unlisted = F.col("token").rlike("^[A-Za-z][A-Za-z0-9]*$") if "eng" in allowed_tags else F.lit(False)
+    return rows.join(listed, "token", "left").where(F.coalesce("_listed", unlisted)).drop("_listed")
 
 
 def sentence_rows(docs: DataFrame, delimiters=text.SENTENCE_DELIMITERS) -> DataFrame:
     """One row per sentence: ``(doc_id, idx, sentence)``."""
-    split = text.sentences(F.col("content"), delimiters)
-    return docs.select("doc_id", F.posexplode(split).alias("idx", "sentence"))
+    return exploded(docs, ["doc_id"], text.sentences(F.col("content"), delimiters), "idx", "sentence")
 
 
 def sentence_word_lists(
@@ -89,8 +88,7 @@ def within_window(words: Column, window: int = 2) -> Column:
 
 def window_pairs(sentences: DataFrame, words_col: str = "words", window: int = 2) -> DataFrame:
     """Sliding-window word pairs of every sentence; a window below 2 counts as 2."""
-    pairs = F.explode(within_window(F.col(words_col), window)).alias("pair")
-    return sentences.select("doc_id", "idx", pairs).select("doc_id", "idx", "pair.*")
+    return exploded_structs(sentences, ["doc_id", "idx"], within_window(F.col(words_col), window))
 
 
 def word_vertices(word_lists: DataFrame, words_col: str = "words") -> DataFrame:
@@ -100,7 +98,7 @@ def word_vertices(word_lists: DataFrame, words_col: str = "words") -> DataFrame:
     the numbering needs no window and no shuffle.
     """
     distinct = F.array_distinct(F.flatten(F.col(words_col)))
-    return word_lists.select("doc_id", F.posexplode(distinct).alias("vertex", "word"))
+    return exploded(word_lists, ["doc_id"], distinct, "vertex", "word")
 
 
 def word_graph_edges(
@@ -111,15 +109,13 @@ def word_graph_edges(
     The pairs of one document sit in one partition, so repeats vanish before the shuffle.
     Where vertices and edges use different word lists, only edges between vertices stay.
     """
-    pairs = F.explode(F.flatten(F.transform(F.col(edge_col), lambda words: within_window(words, window))))
-    one_way = word_lists.select("doc_id", pairs.alias("pair"))
-    both = F.explode(
-        F.array(
-            F.struct(F.col("pair.w1").alias("w1"), F.col("pair.w2").alias("w2")),
-            F.struct(F.col("pair.w2").alias("w1"), F.col("pair.w1").alias("w2")),
-        )
+    pairs = F.flatten(F.transform(F.col(edge_col), lambda words: within_window(words, window)))
+    one_way = exploded(word_lists, ["doc_id"], pairs, "pair")
+    both = F.array(
+        F.struct(F.col("pair.w1").alias("w1"), F.col("pair.w2").alias("w2")),
+        F.struct(F.col("pair.w2").alias("w1"), F.col("pair.w1").alias("w2")),
     )
-    edges = one_way.select("doc_id", both.alias("edge")).select("doc_id", "edge.*").distinct()
+    edges = exploded_structs(one_way, ["doc_id"], both).distinct()
     if vertex_col == edge_col:
         return edges
     known = word_vertices(word_lists, vertex_col).select("doc_id", "word")
@@ -137,7 +133,7 @@ def segment_runs(docs: DataFrame, lexicon: DataFrame, token_class: str = "refere
     (at most its length times the longest word) are then walked from the left.
     """
     longest = lexicon.agg(F.max(F.length("word"))).first()[0] or 1
-    runs = docs.select("doc_id", F.posexplode(text.raw_runs(F.col("content"), token_class)).alias("pos", "run"))
+    runs = exploded(docs, ["doc_id"], text.raw_runs(F.col("content"), token_class), "pos", "run")
     distinct = runs.where(han.han_only(F.col("run"))).select("run").distinct()
     starts = distinct.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start"))
     sizes = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("run") - F.col("start") + 1))

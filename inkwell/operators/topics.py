@@ -34,7 +34,8 @@ def fit_topics(
     ``"online"`` keeps only a (k x vocabulary) matrix between mini-batches and is the
     choice for large corpora. The vocabulary bounds what reaches the driver.
 
-    Input order affects training, so documents are placed by id before it.
+    Input order affects training, so documents are placed by id before it. Trainings still
+    differ slightly where terms tie on their count (see ``features.count_vectorizer``).
     """
     spark = tokenized.sparkSession
     enable_checkpoints(spark)
@@ -42,7 +43,7 @@ def fit_topics(
     placed = tokenized.repartition(partitions, "doc_id").sortWithinPartitions("doc_id").persist()
     try:
         if vectorizer == "count":
-            counts = features.fit_counts(placed, vocab_size, min_df)
+            counts = features.count_vectorizer(vocab_size, min_df).fit(placed)
         else:
             counts = features.hashing_tf(vocab_size)
         weights = features.idf().fit(counts.transform(placed))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators import graph
+from inkwell.operators.rows import exploded_structs
 
 
 def summaries(docs: DataFrame, num: int = 3, min_length: int = 6, **options) -> DataFrame:
@@ -18,4 +19,4 @@ def summaries(docs: DataFrame, num: int = 3, min_length: int = 6, **options) ->
 def key_sentences(docs: DataFrame, num: int = 6, min_length: int = 6, **options) -> DataFrame:
     """The same sentences as rows: ``(doc_id, rank, idx, sentence, weight)``; ``rank`` is the overall rank."""
     ranked = graph.score_sentences(docs, **options)
-    return ranked.select("doc_id", F.inline(graph.summary(F.col("ranked"), num, min_length)))
+    return exploded_structs(ranked, ["doc_id"], graph.summary(F.col("ranked"), num, min_length))
