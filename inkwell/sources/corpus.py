@@ -33,8 +33,8 @@ def read_table(
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Give per-document work every core, at the price of one shuffle of a small input.
 
-    An input that already scans in at least as many partitions as there are cores, as
-    any large one does, comes back unchanged and is never shuffled.
+    For a reader's output. An input that already scans in at least as many partitions as
+    there are cores, as any large one does, comes back unchanged and is never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
