@@ -57,12 +57,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def windows(bounds: np.ndarray, limit: int = WINDOW_BYTES):
-    """Row ranges of at most ``limit`` bytes, or of one row."""
+def windows(bounds: np.ndarray, limit: int = WINDOW_BYTES, rows: int = 1 << 16):
+    """Row ranges of at most ``limit`` bytes and ``rows`` rows, or of one row."""
     i, n = 0, len(bounds) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + limit, "right")) - 1)
-        j = min(j, n)
+        j = min(j, n, i + rows)
         yield i, j
         i = j
 
