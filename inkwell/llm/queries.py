@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import exact_dedup, exact_topk, language_id, license_scan, packing, quality, sentencepiece_codec
+from inkwell.llm import exact_dedup, exact_topk, language_id, license_scan, packing, pii, quality, sentencepiece_codec
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,7 +55,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup, op10_pii)}
 
 ORACLES = {
     "op1_exact_topk": """
