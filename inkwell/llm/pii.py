@@ -42,6 +42,8 @@ PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 # Cue words, small letters only.
 CUES = {w: i + 1 for i, w in enumerate("password passwd pwd token secret key apikey api_key mr mrs ms dr prof account card ssn passport phone tel call".split())}
 
+HONORIFICS = {"mr", "mrs", "ms", "dr", "prof"}
+
 # Labelled sentences: [kind:span]. The patterns' own kinds are left unmarked here.
 LABELLED = """
 the login was root with password=[secret:ab12cd34ef567890ab] and nothing else
@@ -352,6 +354,10 @@ class Finder:
         out = []
         for kind, first, last in found:
             i, a, b = row[first], int(starts[first]), int(ends[last])
+            if kind == "person":  # a name is only taken where a title stands before it
+                title = raw[starts[first - 1] : ends[first - 1]] if first and row[first - 1] == i else b""
+                if title.strip(b".,").lower().decode("latin-1") not in HONORIFICS:
+                    continue
             while a < b and raw[a] in b"\"'(.,;:!?":
                 a += 1
             while b > a and raw[b - 1] in b"\"').,;:!?":
