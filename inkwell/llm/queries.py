@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import exact_dedup, exact_topk, jaccard_join, language_id, license_scan, packing, pii, quality, sentencepiece_codec
+from inkwell.llm import exact_dedup, exact_topk, jaccard_join, language_id, license_scan, packing, pii, quality, quotation_linking, sentencepiece_codec
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -32,6 +32,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotation_linking.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
 
@@ -63,7 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op4_jaccard_join, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_quotation_linking, op4_jaccard_join, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup, op10_pii)}
 
 ORACLES = {
     "op1_exact_topk": """
