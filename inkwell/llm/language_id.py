@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm._text import text_bytes, windows
 
-BINS = 4096
+BINS = 2048
 TRAINING_ROWS = 6000  # labelled texts that a model is fitted on, shared evenly by the languages
 UNKNOWN = "und"
 AMBIGUOUS_SHARE = 0.05  # how close, relative to the least loss, the next language must be
@@ -89,12 +89,17 @@ def grams(data: np.ndarray, bounds: np.ndarray, bins: int = BINS) -> np.ndarray:
 def learn(x: np.ndarray, y: np.ndarray, languages: list[str], ridge: float = 0.1) -> Model:
     """Ridge-regressed bit classifiers on rows ``x`` whose language numbers are ``y``, every language weighing the same."""
     codes = codewords(len(languages))
-    share = 1.0 / np.maximum(np.bincount(y, minlength=len(languages)), 1)[y] if len(y) else np.zeros(0)
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    weighted = x1 * share[:, None]
-    gram = x1.T @ weighted + ridge * 1e-2 * np.eye(x1.shape[1])
-    weights = np.linalg.solve(gram, weighted.T @ codes[y])
-    right = (np.sign(x1 @ weights) == codes[y]).astype(float)
+    share = 1.0 / np.maximum(np.bincount(y, minlength=len(languages)), 1)
+    size = x.shape[1] + 1
+    gram, aim = ridge * 1e-2 * np.eye(size), np.zeros((size, codes.shape[1]))
+    blocks = [slice(i, i + 500) for i in range(0, len(x), 500)]
+    for block in blocks:  # rows stay small floats; only a block of them is widened at a time
+        x1 = np.hstack([x[block], np.ones((len(x[block]), 1))]).astype(np.float64)
+        weighted = x1 * share[y[block], None]
+        gram += x1.T @ weighted
+        aim += weighted.T @ codes[y[block]]
+    weights = np.linalg.solve(gram, aim)
+    right = np.concatenate([np.sign(x[b].astype(np.float64) @ weights[:-1] + weights[-1]) == codes[y[b]] for b in blocks]).astype(float)
     trust = np.array([right[y == i].mean(axis=0) if (y == i).any() else np.zeros(codes.shape[1]) for i in range(len(languages))]).reshape(codes.shape)
     trust = np.maximum(trust, 1e-3)
     return Model(languages, codes, weights.astype(np.float32), trust / trust.sum(axis=1, keepdims=True))
@@ -140,7 +145,7 @@ def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
     rows = drawn.select("lang", "text").mapInArrow(featured, "lang string, x binary").toArrow()
-    x = np.stack([np.frombuffer(b, np.float16).astype(np.float32) for b in rows.column("x").to_pylist()])
+    x = np.stack([np.frombuffer(b, np.float16) for b in rows.column("x").to_pylist()])
     y = np.array([languages.index(v) for v in rows.column("lang").to_pylist()])
     order = np.lexsort((x[:, 0], y))
     return learn(x[order], y[order], languages)
