@@ -227,6 +227,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    stays = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(stays, docs[id_col].cast("long") == F.col("_kept_id"), "left_semi")
+    """The documents that stay, with all their columns; of rows alike in id and text one stays."""
+    stays = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_digest")).distinct()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.withColumn("_kept_id", F.col(id_col).cast("long")).withColumn("_digest", F.unhex(F.sha2(lower_ascii(text), 256)))
+    return rows.join(stays, ["_kept_id", "_digest"], "left_semi").dropDuplicates(["_kept_id", "_digest"]).select(*docs.columns)

@@ -173,3 +173,23 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", "text", _has_letter())
     return rows.mapInArrow(predicted, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The documents whose language is known and not ambiguous, with all their columns.
+
+    A model that met no language knows none, so nothing is accepted by it."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = text_bytes(batch.column(at))
+            keep = np.asarray(batch.column(len(names)).to_numpy(zero_copy_only=False), bool) & bool(model.languages)
+            if model.languages:
+                for i, j in windows(bounds, rows=256):
+                    _, _, ambiguous = decode(model, grams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]))
+                    keep[i:j] &= ~ambiguous
+            yield batch.select(range(len(names))).filter(pa.array(keep))
+
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_has_letter")
+    return docs.select(*names, letters).mapInArrow(filtered, docs.schema)
