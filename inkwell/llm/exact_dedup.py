@@ -72,7 +72,8 @@ class CuckooIndex:
         if self.find(digest) is None:
             self.count += 1
             self.stored[first][digest] = value
-            if not self._place(print_, first, second):
+            left = self._place(print_, first, second)
+            if left and not self._crowded(*left):
                 self._resize()
         else:
             self.stored[first][digest] = value
@@ -87,11 +88,12 @@ class CuckooIndex:
             self.count -= 1
         return value
 
-    def _place(self, print_: int, first: int, second: int) -> bool:
+    def _place(self, print_: int, first: int, second: int) -> tuple[int, int] | None:
+        """Find room, moving others on; what finds none is handed back with its bucket."""
         for bucket in (first, second):
             if len(self.filter[bucket]) < self.SLOTS:
                 self.filter[bucket].append(print_)
-                return True
+                return None
         bucket = second
         for kick in range(self.KICKS):
             slots = self.filter[bucket]
@@ -99,14 +101,18 @@ class CuckooIndex:
             bucket = self._other(bucket, print_)
             if len(self.filter[bucket]) < self.SLOTS:
                 self.filter[bucket].append(print_)
-                return True
-        return False
+                return None
+        return print_, bucket
 
-    def _resize(self) -> None:
-        """Double until every stored key has a place; fingerprints are made anew from the keys.
+    def _crowded(self, print_: int, bucket: int) -> bool:
+        """With many more buckets than keys, digests that look alike to the filter fill their buckets; those may then grow."""
+        if self.buckets <= 12 * self.count + 64:
+            return False
+        self.filter[bucket].append(print_)
+        return True
 
-        Keys that share all the bits a filter looks at could never be spread; the number of
-        buckets is bounded by twelve times the keys, beyond which a bucket may grow."""
+    def _resize(self) -> None:
+        """Double until every stored key has a place; fingerprints are made anew from the keys."""
         items = list(self.items())
         done = False
         while not done:
@@ -116,11 +122,8 @@ class CuckooIndex:
             for digest, value in items:
                 print_, first, second = self._places(digest)
                 self.stored[first][digest] = value
-                if done and not self._place(print_, first, second):
-                    if self.buckets > 12 * len(items) + 64:
-                        self.filter[first].append(print_)
-                    else:
-                        done = False
+                left = self._place(print_, first, second) if done else None
+                done = done and (not left or self._crowded(*left))
 
     def items(self) -> Iterator[tuple[bytes, object]]:
         for bucket in self.stored:
