@@ -126,28 +126,33 @@ def _has_letter() -> Column:
     return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
-    """A model from at most ``training_rows`` texts with a language and a letter, drawn by a hash of the text.
+def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS, id_col: str = "doc_id") -> Model:
+    """A model from at most ``training_rows`` documents with a language and a letter, drawn by a hash of their ids.
 
-    Every language gets an equal share of the rows. Texts are used whole."""
-    usable = docs.where(F.col("lang").isNotNull() & _has_letter()).select("lang", "text", F.xxhash64("text").alias("draw"))
+    Every language gets an equal share of the rows. Ids are drawn first; only the texts drawn are
+    then fetched, whole. Of rows that repeat an id one is used; rows without an id are not."""
+    usable = docs.where(F.col("lang").isNotNull() & _has_letter()).select("lang", "text", F.col(id_col).cast("long").alias("_id"))
     languages = sorted(r["lang"] for r in usable.select("lang").distinct().collect())  # as many rows as languages
     if not languages:
         return Model([], np.ones((0, 1)), np.zeros((BINS + 1, 1), np.float32), np.ones((0, 1)))
     each = max(1, training_rows // len(languages))
-    drawn = usable.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.length("text")))).where(F.col("n") <= each)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id")
+    ids = usable.where("_id IS NOT NULL").select("lang", "_id").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    drawn = usable.join(F.broadcast(ids.select("lang", "_id")), ["lang", "_id"])  # at most training_rows ids
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_bytes(batch.column(1))
             for i, j in windows(bounds, rows=256):
                 x = grams(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2).slice(i, j - i)], ["lang", "x", "id"]
+                )
 
-    rows = drawn.select("lang", "text").mapInArrow(featured, "lang string, x binary").toArrow()
+    rows = drawn.select("lang", "text", "_id").mapInArrow(featured, "lang string, x binary, id long").dropDuplicates(["lang", "id"]).toArrow()
     x = np.stack([np.frombuffer(b, np.float16) for b in rows.column("x").to_pylist()])
     y = np.array([languages.index(v) for v in rows.column("lang").to_pylist()])
-    order = np.lexsort((x[:, 0], y))
+    order = np.lexsort((rows.column("id").to_numpy(), y))
     return learn(x[order], y[order], languages)
 
 
