@@ -144,9 +144,10 @@ class Codec:
             if space:
                 piece = piece.lstrip(b" ")
             if piece:
+                space = self.squeeze and piece.endswith(b" ")
+                piece = piece.replace(SPACE_SIGN.encode(), b" ")  # a sign in the text is a space, but not one to squeeze
                 out += piece
                 came += [at] * len(piece)
-                space = self.squeeze and piece.endswith(b" ")
             at += n
         if self.squeeze:
             kept = len(out.rstrip(b" "))
@@ -159,13 +160,13 @@ class Codec:
     def _prefix(self, raw: bytes, at: int) -> tuple[bytes, int]:
         for symbol in self.symbols:
             if raw.startswith(symbol, at):
-                return symbol.replace(SPACE_SIGN.encode(), b" "), len(symbol)
+                return symbol, len(symbol)
         found = self.map.longest(raw, at) if self.map else None
         if found is None:
             lead = raw[at]
             n = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
             found = (raw[at : at + n], n)
-        return found[0].replace(SPACE_SIGN.encode(), b" "), found[1]
+        return found
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, spans: bool = True):
         """Ids of all rows laid end to end, each row's number, and (start, end) of every piece in its row's bytes.
@@ -214,8 +215,11 @@ class Codec:
         flat = gather(self.surface, self.surface_at[ids], sizes)
         edges = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[np.concatenate(([0], stops))]
         raw, out = flat.tobytes(), []
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
             text = raw[a:b]
+            if self.squeeze and text[:2] == b"  ":  # signs that stood in the text: how many go depends on the pieces
+                out.append(self.whole.decode(ids[stops[i] - counts[i] : stops[i]].tolist()).encode())
+                continue
             out.append(text[1:] if text[:1] == b" " and (self.prefix or self.squeeze) and not self.suffix else text)
         return out
 
