@@ -11,8 +11,10 @@ segments with anything cannot be similar to anything; of the shared ones it asks
 the rarest, as must hit. Candidates are verified on whole sets of 64-bit token hashes.
 
 Groups are never written out as pairs. Equal sets are one class. Sets that share keys are first
-verified against one representative, and what that joins is not compared again: only sets
-of different components meet. The outcome is a component per document.
+verified against one representative, the one whose keys most others hold, and what that joins is not
+compared again: only sets of different components meet. Where they meet, parity sketches
+tell most of those that differ in too many tokens: two sketches differ in at
+most as many bits as the sets in tokens. The outcome is a component per document.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ BROADCAST_ROWS = 200_000
 TASK_ROWS = 2_000_000  # index rows that one task sorts
 SEEN_SETS = 500_000
 SIGNS = "key long, cls long, rule long"
+SKETCH = 512  # bits of a parity sketch
+LANES = [f"s{i}" for i in range(SKETCH // 64)]
 
 
 class Bands:
@@ -131,6 +135,13 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, cls: np.ndarray, bands: B
     return key.view(np.int64), cls_, rule
 
 
+def sketches(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A row of 64-bit lanes per set: each bit is the parity of the number of tokens that fall on it."""
+    at = np.repeat(np.arange(len(counts)), counts) * SKETCH + (mix(tokens + PRIME + PRIME) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(counts) * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd).reshape(len(counts), SKETCH // 8).view(np.int64)
+
+
 def _batch(schema: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema)
 
@@ -240,7 +251,7 @@ class Join:
         return self.docs.select("doc_id", "text").mapInArrow(sign, SIGNS)
 
     def sets(self, of: DataFrame, described: DataFrame) -> DataFrame:
-        """cls and its shingles (ascending, packed) for the classes in ``of``, from one document of each."""
+        """cls, its shingles (ascending, packed), their number and sketch, for the classes in ``of``, from one document of each."""
         words = self.words
         wanted = described.join(of, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.col("cls").alias("_cls"))
         if of.count() <= BROADCAST_ROWS:
@@ -250,17 +261,17 @@ class Join:
             for batch in batches:
                 data, bounds = text_bytes(batch.column(1))
                 asked = batch.column(0).to_numpy()
-                for i, j in windows(bounds):
+                for i, j in windows(bounds, rows=4096):
                     tokens, counts = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
-                    cls = classes_of(tokens, counts)
+                    cls, lanes = classes_of(tokens, counts), sketches(tokens, counts)
                     stops = np.cumsum(counts)
                     right = np.flatnonzero(cls == asked[i:j])  # rows that share an id may hold other texts
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cls[right]), pa.array([tokens[a:b].tobytes() for a, b in zip((stops - counts)[right], stops[right], strict=True)], pa.binary())], ["cls", "tokens"]
-                    )
+                    packed_tokens = pa.array([tokens[a:b].tobytes() for a, b in zip((stops - counts)[right], stops[right], strict=True)], pa.binary())
+                    columns = [pa.array(cls[right]), packed_tokens, pa.array(counts[right]), *(pa.array(np.ascontiguousarray(lanes[right, k])) for k in range(len(LANES)))]
+                    yield pa.RecordBatch.from_arrays(columns, ["cls", "tokens", "n", *LANES])
 
         rows = self.docs.join(wanted, "doc_id").select("_cls", "text")
-        return rows.mapInArrow(packed, "cls long, tokens binary").dropDuplicates(["cls"])
+        return rows.mapInArrow(packed, "cls long, tokens binary, n long, " + ", ".join(f"{c} long" for c in LANES)).dropDuplicates(["cls"])
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) of classes whose sets are similar."""
@@ -335,13 +346,14 @@ def join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: st
     rows = run.signed().repartition(parts, "key").sortWithinPartitions("key", "cls").mapInArrow(shared_keys, SIGNS)
     rows = rows.repartition(parts, "cls").sortWithinPartitions("cls", "rule").mapInArrow(searched, SIGNS)
     rows = materialize(rows, "shared")
-    rows = materialize(narrowed(rows, "cls").select("key", "cls", "rule"), "shared")
+    rows = materialize(narrowed(rows, "cls").select("key", "cls", "rule", "held"), "shared")
 
     sets = materialize(run.sets(rows.select("cls").distinct(), described), "sets")
-    # A first link per set: to the smallest class with which it shares most keys.
-    least = rows.groupBy("key").agg(F.min("cls").alias("b"))
-    counted = rows.join(least, "key").where("cls <> b").groupBy("cls", "b").count()
-    star = counted.groupBy(F.col("cls").alias("a")).agg(F.max_by("b", F.struct("count", F.col("b"))).alias("b"))
+    # A first link per set: to the most central class with which it shares most keys.
+    central = rows.groupBy("cls").agg(F.sum("held").alias("_central"))
+    most = rows.join(central, "cls").groupBy("key").agg(F.max(F.struct("_central", "cls")).alias("_top")).select("key", F.col("_top.cls").alias("b"), F.col("_top._central").alias("_central"))
+    counted = rows.join(most, "key").where("cls <> b").groupBy("cls", "b", "_central").agg(F.count("*").alias("_keys"))
+    star = counted.groupBy(F.col("cls").alias("a")).agg(F.max_by("b", F.struct("_keys", "_central", "b")).alias("b"))
     joined = flattened(run.links(star, sets).select(F.col("a").alias("node"), F.col("b").alias("parent")))
     named = rows.join(joined, rows["cls"] == joined["node"], "left").select("key", "cls", "rule", F.coalesce("root", "cls").alias("part"))
     for _ in range(2):
@@ -349,9 +361,12 @@ def join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: st
     # Of its shared keys a set must hit on `need`: all but need - 1 of them are asked, the rarest.
     rarest = Window.partitionBy("cls", "rule").orderBy("held", "key")
     asked = named.withColumn("_n", F.row_number().over(rarest)).where("_n <= shared - (rule & ((1L << 40) - 1)) + 1")
-    asked = asked.select("key", F.col("cls").alias("a"), F.col("part").alias("_a"))
-    other = named.select("key", F.col("cls").alias("b"), F.col("part").alias("_b"))
-    across = asked.join(other, "key").where("a < b AND _a <> _b").select("a", "b").distinct()
+    marks = sets.select("cls", "n", *LANES)
+    asked = asked.select("key", "cls", "part").join(marks, "cls").select("key", *(F.col(c).alias(f"a_{c}") for c in ("cls", "part", "n", *LANES)))
+    other = named.select("key", "cls", "part").join(marks, "cls").select("key", *(F.col(c).alias(f"b_{c}") for c in ("cls", "part", "n", *LANES)))
+    parity = " + ".join(f"bit_count(a_{c} ^ b_{c})" for c in LANES)
+    near = f"a_cls < b_cls AND a_part <> b_part AND ({parity}) * {num + den}L <= {den - num}L * (a_n + b_n)"
+    across = asked.join(other, [asked["key"] == other["key"], F.expr(near)]).select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b")).distinct()
     found = run.links(across, sets)
     whole = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
