@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from inkwell.functions.stopwords import default_stop_words
 
-ROUNDS = 30
 SPACE = (
     r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -83,8 +82,8 @@ shared AS (
 LOG_WEIGHT = "CASE WHEN ln(n_a) + ln(n_b) < 1e-12 THEN 0.0 ELSE shared / (ln(n_a) + ln(n_b)) END"
 
 
-def _pagerank(nodes: str, links: str) -> str:
-    """CTE ``scores(graph, node, score)`` after a fixed number of rounds."""
+def _pagerank(nodes: str, links: str, rounds: int = 100, tol: str = "1e-6") -> str:
+    """CTE ``scores(graph, node, score)``: a graph stops after ``rounds``, or when it moves by less than ``tol`` per node."""
     return f"""
 nodes AS MATERIALIZED (SELECT graph, node, count(*) OVER (PARTITION BY graph) AS n FROM ({nodes})),
 links AS MATERIALIZED (
@@ -95,30 +94,32 @@ start AS MATERIALIZED (
   FROM nodes
 ),
 rounds AS (
-  SELECT graph, node, n, loose, 1.0::DOUBLE / n AS score, 0 AS done FROM start
+  SELECT graph, node, n, loose, 1.0::DOUBLE / n AS score, 0 AS done, false AS finished FROM start
   UNION ALL
-  SELECT s.graph, s.node, s.n, s.loose,
-         0.85 * (coalesce(g.got, 0.0) + s.loose_mass / s.n) + 0.15 / s.n, s.done + 1
+  SELECT graph, node, n, loose, moved, done + 1, sum(abs(moved - score)) OVER (PARTITION BY graph) < n * {tol}
   FROM (
-    SELECT *, sum(CASE WHEN loose THEN score ELSE 0.0 END) OVER (PARTITION BY graph) AS loose_mass
-    FROM rounds WHERE done < {ROUNDS}
-  ) s
-  LEFT JOIN (
-    SELECT l.graph, l.dst, sum(r.score * l.share) AS got
-    FROM rounds r JOIN links l ON r.graph = l.graph AND r.node = l.src
-    WHERE r.done < {ROUNDS}
-    GROUP BY ALL
-  ) g ON g.graph = s.graph AND g.dst = s.node
+    SELECT s.*, 0.85 * (coalesce(g.got, 0.0) + s.loose_mass / s.n) + 0.15 / s.n AS moved
+    FROM (
+      SELECT *, sum(CASE WHEN loose THEN score ELSE 0.0 END) OVER (PARTITION BY graph) AS loose_mass
+      FROM rounds WHERE done < {rounds} AND NOT finished
+    ) s
+    LEFT JOIN (
+      SELECT l.graph, l.dst, sum(r.score * l.share) AS got
+      FROM rounds r JOIN links l ON r.graph = l.graph AND r.node = l.src
+      WHERE r.done < {rounds} AND NOT r.finished
+      GROUP BY ALL
+    ) g ON g.graph = s.graph AND g.dst = s.node
+  )
 ),
-scores AS (SELECT graph, node, score FROM rounds WHERE done = {ROUNDS})"""
+scores AS (SELECT graph, node, arg_max(score, done) AS score FROM rounds GROUP BY graph, node)"""
 
 
-def _sentence_scores(weight: str = LOG_WEIGHT) -> str:
+def _sentence_scores(weight: str = LOG_WEIGHT, rounds: int = 100, tol: str = "1e-6") -> str:
     links = f"SELECT * FROM (SELECT doc_id AS graph, src, dst, {weight} AS weight FROM shared) WHERE weight > 0"
     return f"""
 WITH RECURSIVE {WORD_LISTS.strip()},
 {SHARED.strip()},
-{_pagerank("SELECT doc_id AS graph, idx AS node FROM sentence_rows", links).strip()},
+{_pagerank("SELECT doc_id AS graph, idx AS node FROM sentence_rows", links, rounds, tol).strip()},
 ranked AS (
   SELECT s.doc_id, s.idx, s.sentence, score,
          row_number() OVER (PARTITION BY s.doc_id ORDER BY round(score, 9) DESC, s.idx) AS rank
@@ -255,9 +256,8 @@ SELECT doc_id, term, {weight} AS tfidf FROM tf JOIN df USING (term)"""
     sql["hashing_tf_totals"] = f"WITH {tokens} SELECT doc_id, len(tokens)::BIGINT AS n_tokens FROM tok WHERE len(tokens) > 0"
     sql["list_concat_by_key"] = f"""
 WITH {tokens}
-SELECT source, 0 AS part, sum(len(tokens))::INTEGER AS n_tokens,
-       string_agg(array_to_string(tokens, ' '), ' ' ORDER BY doc_id) FILTER (len(tokens) > 0) AS tokens
-FROM tok JOIN documents USING (doc_id) GROUP BY source"""
+SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) - 1 AS pos, token
+FROM (SELECT source, doc_id, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM tok JOIN documents USING (doc_id))"""
     sql["sentence_graph_edges"] = f"""
 WITH {WORD_LISTS.strip()}, {SHARED.strip()}
 SELECT doc_id, src, dst, round(weight, 6) AS weight
@@ -276,7 +276,7 @@ joined AS (
 SELECT doc_id, coalesce(html, '') AS html, coalesce(n, 0)::INTEGER AS n_sentences
 FROM documents LEFT JOIN joined USING (doc_id)"""
     sql["textrank_custom_similarity"] = f"""
-{_sentence_scores("shared / (n_a + n_b)")}
+{_sentence_scores("shared / (n_a + n_b)", 30, "0")}
 SELECT doc_id, idx, round(score, 9) AS weight FROM ranked"""
     sql["token_window_pairs"] = f"""
 WITH {WORD_LISTS.strip()}, {WORD_PAIRS.format(source="words_all_filters", window=3).strip()}
@@ -288,8 +288,8 @@ both_ways AS (SELECT doc_id, w1, w2 FROM pairs UNION SELECT doc_id, w2, w1 FROM
 WITH {WORD_LISTS.strip()}, {WORD_PAIRS.format(source="words_no_stop_words", window=2).strip()},
 {VERTICES.strip()}, {edges.strip()}
 SELECT doc_id, w1, w2 FROM both_ways
-WHERE EXISTS (SELECT 1 FROM vertices v WHERE v.doc_id = both_ways.doc_id AND v.word = w1)
-  AND EXISTS (SELECT 1 FROM vertices v WHERE v.doc_id = both_ways.doc_id AND v.word = w2)"""
+SEMI JOIN (SELECT doc_id, word AS w1 FROM vertices) a USING (doc_id, w1)
+SEMI JOIN (SELECT doc_id, word AS w2 FROM vertices) b USING (doc_id, w2)"""
     word_graph = f"""
 WITH RECURSIVE {WORD_LISTS.strip()}, {WORD_PAIRS.format(source="words_all_filters", window=2).strip()},
 {VERTICES.strip()}, {edges.strip()}"""

@@ -18,7 +18,7 @@ from inkwell.sources.vectors import read_vector_csv, write_vector_csv
 STOP_WORDS = default_stop_words()
 TOKENS = dict(token_class="letters", lower=True)
 WORDS = dict(token_class="letters", stop_words=STOP_WORDS)
-ROUNDS = dict(max_iter=30, tol=0)  # a fixed number of rounds, which SQL can follow
+ROUNDS = dict(max_iter=100, tol=1e-6)  # stop at 100 rounds, or when a graph moves by less than tol times its nodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -246,28 +246,14 @@ def tfidf(spark, sf_dir):
     return rows.withColumn("tfidf", F.round("tfidf", 6))
 
 
-def _counted(spark, sf_dir):
-    docs = materialize(tokenized(spark, sf_dir), "tokens")
-    model = features.count_vectorizer().fit(docs)
-    return model.transform(docs), model.vocabulary
-
-
-def _terms(spark, entries, vocabulary):
-    names = spark.createDataFrame(list(enumerate(vocabulary)), "index int, term string")
-    return entries.join(names, "index")
-
-
 def count_vectors(spark, sf_dir):
-    counted, vocabulary = _counted(spark, sf_dir)
-    rows = _terms(spark, features.sparse_entries(counted, "features"), vocabulary)
-    return rows.select("doc_id", "term", F.col("value").cast("bigint").alias("tf"))
+    docs = materialize(tokenized(spark, sf_dir), "tokens")
+    return features.count_entries(docs).select("doc_id", "term", "tf")
 
 
 def idf_vectors(spark, sf_dir):
-    counted, vocabulary = _counted(spark, sf_dir)
-    weighted = features.idf().fit(counted).transform(counted)
-    rows = _terms(spark, features.sparse_entries(weighted, "idf"), vocabulary)
-    return rows.select("doc_id", "term", F.round("value", 6).alias("tfidf"))
+    docs = materialize(tokenized(spark, sf_dir), "tokens")
+    return features.idf_entries(docs).select("doc_id", "term", F.round("tfidf", 6).alias("tfidf"))
 
 
 def hashing_tf(spark, sf_dir):
@@ -289,8 +275,7 @@ def word_vectors(spark, sf_dir):
 def list_concat_by_key(spark, sf_dir):
     docs = corpus.spread(table(spark, sf_dir, "documents").select("source", "doc_id", "text"), "doc_id")
     lists = docs.select("source", "doc_id", text.document_tokens(F.col("text"), **TOKENS).alias("tokens"))
-    joined_lists = aggregates.concat_lists(lists, "source", "tokens", "doc_id")
-    return joined_lists.select("source", "part", F.size("tokens").alias("n_tokens"), joined("tokens").alias("tokens"))
+    return aggregates.concat_lists(lists, "source", "tokens", "doc_id").withColumnRenamed("value", "token")
 
 
 # Graph ranking
@@ -317,7 +302,7 @@ def textrank_custom_similarity(spark, sf_dir):
     nodes, links = graph.sentence_graph(
         word_lists(spark, sf_dir), similarity=lambda shared, n_a, n_b: shared / (n_a + n_b)
     )
-    scores = graph.pagerank(nodes, links, **ROUNDS)
+    scores = graph.pagerank(nodes, links, max_iter=30, tol=0)  # the option of a fixed number of rounds
     return scores.select(F.col("graph").alias("doc_id"), F.col("node").alias("idx"), F.round("score", 9).alias("weight"))
 
 

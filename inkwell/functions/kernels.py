@@ -49,6 +49,46 @@ def all_with_all(group_sizes):
     return left, right
 
 
+def shared_word_counts(batches, block_links=2_000_000):
+    """Sentence pairs of each row's document that share words: (id, src, dst, n_a, n_b, shared), src <= dst.
+
+    Takes batches of (id, words array<array<string>>). A repeated word counts once; n_a and n_b are
+    the sentences' lengths with repeats. Links are counted for as many sources at a time as have
+    about ``block_links`` shared words, or for one source.
+    """
+    names = ["doc_id", "src", "dst", "n_a", "n_b", "shared"]
+    for batch in batches:
+        for row in range(batch.num_rows):
+            words = batch.column(1).slice(row, 1).flatten()
+            if not len(words):
+                continue
+            n = pc.fill_null(pc.list_value_length(words), 0).to_numpy()
+            sentence = np.repeat(np.arange(len(n)), n)
+            code = words.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            held = np.unique(sentence * (code.max(initial=0) + 1) + code)
+            sentence, code = held // (code.max(initial=0) + 1), held % (code.max(initial=0) + 1)
+            order = np.argsort(code, kind="stable")  # per word, its sentences in order
+            by_word, first = sentence[order], np.searchsorted(code[order], np.arange(code.max(initial=0) + 2))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            later = first[code + 1] - place  # this sentence and those after it that hold the word
+            total = np.concatenate(([0], np.cumsum(later)))
+            begin = 0
+            while begin < len(sentence):
+                end = int(np.searchsorted(total, total[begin] + block_links, "right")) - 1
+                end = int(np.searchsorted(sentence, sentence[min(max(end, begin), len(sentence) - 1)], "left"))
+                if end <= begin:
+                    end = int(np.searchsorted(sentence, sentence[begin], "right"))
+                links = later[begin:end]
+                at = np.repeat(place[begin:end] - (np.cumsum(links) - links), links) + np.arange(links.sum())
+                pair, shared = np.unique(np.repeat(sentence[begin:end], links) * len(n) + by_word[at], return_counts=True)
+                src, dst = pair // len(n), pair % len(n)
+                ids = batch.column(0).take(pa.array(np.full(len(pair), row)))
+                columns = [pa.array(x.astype(np.int32)) for x in (src, dst, n[src], n[dst])]
+                yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(shared)], names)
+                begin = end
+
+
 def sentence_scores(codes, lengths, sentence_doc, n_docs, alpha, max_iter, tol):
     """Scores of sentences linked by shared words / (ln length + ln length).
 

@@ -272,12 +272,14 @@ def keyword_line(line: Column) -> Column:
 def decode_text(value: Column) -> Column:
     """UTF-8 bytes as text, with undecodable bytes left out.
 
-    A replacement character that was really in the text is parked on a
-    noncharacter while invalid bytes are replaced and removed.
+    The three bytes of a genuine replacement character never occur inside another character, so the
+    bytes are cut at them; the pieces are repaired by themselves and put together again.
     """
-    as_string = value.cast("string")
-    parked = F.replace(as_string, F.lit("\ufffd"), F.lit("\ufdd0"))
-    cleaned = F.replace(F.make_valid_utf8(parked), F.lit("\ufffd"), F.lit(""))
-    return F.when(F.is_valid_utf8(as_string), as_string).otherwise(
-        F.replace(cleaned, F.lit("\ufdd0"), F.lit("\ufffd"))
+    raw = value.cast("binary")
+    genuine = "\u00ef\u00bf\u00bd"  # its bytes, read as Latin-1
+    pieces = F.split(F.decode(raw, "ISO-8859-1"), genuine, -1)
+    repaired = F.transform(
+        pieces, lambda piece: F.replace(F.make_valid_utf8(F.encode(piece, "ISO-8859-1").cast("string")), F.lit("\ufffd"), F.lit(""))
     )
+    as_string = raw.cast("string")
+    return F.when(F.is_valid_utf8(as_string), as_string).otherwise(F.array_join(repaired, "\ufffd"))

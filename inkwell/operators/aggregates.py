@@ -2,32 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_ITEMS = 1_000_000
+from inkwell.operators.rows import RANGE_ROWS, exploded, in_ranges
 
 
-def concat_lists(df: DataFrame, key: str, values: str, order_by: str, max_items: int = MAX_ITEMS) -> DataFrame:
-    """Each key's lists joined to one, in ``order_by`` order: ``(key, part, parts, values)``.
+def concat_lists(df: DataFrame, key: str, values: str, order_by: str, rows_per_range: int = RANGE_ROWS) -> DataFrame:
+    """Each key's lists laid end to end in ``order_by`` order, one row per element: ``(key, pos, value)``.
 
-    A key with at most ``max_items`` elements has one part, its whole list. A larger key is
-    cut into parts of about that size by the hash of ``order_by``, so no task ever holds
-    a whole hot key; the parts together are its whole list. Sizes are counted first, with
-    map-side combine, and only oversized keys are looked up (at most elements / max_items).
+    Rows are laid out by ranges of (key, order), so a key of any size is spread over as many
+    ranges as it fills. An element's position is its place in its list, after the lists before
+    it in the range and after the ranges before. Lists with equal ``order_by`` come in the order of
+    their values; NULL and empty lists have no elements.
     """
-    empty = F.array().cast(df.schema[values].dataType)
-    lists = df.select(key, order_by, F.coalesce(values, empty).alias(values))
-    oversized = (
-        lists.groupBy(key)
-        .agg(F.sum(F.size(values)).alias("_items"))
-        .where(F.col("_items") > max_items)
-        .select(key, F.ceil(F.col("_items") / max_items).cast("int").alias("_parts"))
-    )
-    placed = lists.join(F.broadcast(oversized), key, "left").withColumn("parts", F.coalesce("_parts", F.lit(1)))
-    placed = placed.withColumn("part", F.expr(f"pmod(xxhash64({order_by}), parts)").cast("int"))
-    grouped = placed.groupBy(key, "part", "parts").agg(
-        F.array_sort(F.collect_list(F.struct(order_by, values))).alias("_lists")
-    )
-    joined = F.flatten(F.transform("_lists", lambda item: item[values]))
-    return grouped.select(key, "part", "parts", joined.alias(values))
+    lists = df.select(F.col(key).alias("_key"), F.col(order_by).alias("_order"), F.col(values).alias("_list"))
+    laid = in_ranges(lists.where(F.size("_list") > 0), [F.asc("_key"), F.asc("_order"), F.asc("_list")], rows_per_range)
+    ranges = laid.groupBy("_key", "_range").agg(F.sum(F.size("_list")).alias("_size"))
+    earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("_key", "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_range", "_key").orderBy("_order", "_list").rowsBetween(Window.unboundedPreceding, -1)
+    placed = laid.withColumn("_before", F.coalesce(F.sum(F.size("_list")).over(inside), F.lit(0)))
+    same_key = F.expr("_key <=> _k")
+    offsets = offsets.select(F.col("_key").alias("_k"), F.col("_range").alias("_r"), "_offset")
+    joined = placed.join(offsets, same_key & (F.col("_range") == F.col("_r")))
+    start = (F.col("_offset") + F.col("_before")).alias("_start")
+    items = exploded(joined, ["_key", start], "_list", "_i", "_item")
+    return items.select(F.col("_key").alias(key), (F.col("_start") + F.col("_i")).alias("pos"), F.col("_item").alias("value"))

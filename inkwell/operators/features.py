@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.operators.joins import SHARD_ROWS, join_counted
-from inkwell.operators.rows import exploded
+from inkwell.operators.rows import exploded, numbered
 
-VOCABULARY = 1 << 18
+BUCKETS = 1 << 18  # of hashed counts, unless given
 
 
 def term_frequency(tokenized: DataFrame) -> DataFrame:
@@ -44,16 +44,41 @@ def tfidf(tokenized: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     )
 
 
-def count_vectorizer(vocab_size: int = VOCABULARY, min_df: int = 1, output: str = "features") -> CountVectorizer:
-    """Counts over the ``vocab_size`` most frequent terms found in ``min_df`` documents.
+def vocabulary(tokenized: DataFrame, min_df: int = 1) -> DataFrame:
+    """``(term, df, index)``: every term found in ``min_df`` documents, the most frequent first, ties by term.
 
-    The bounded vocabulary is all that reaches the driver. Terms with equal counts come in
-    no fixed order, so results name terms and never their indices.
+    A distributed table of any size; nothing of it reaches the driver.
     """
-    return CountVectorizer(inputCol="tokens", outputCol=output, vocabSize=vocab_size, minDF=min_df)
+    terms = document_frequency(tokenized).where(F.col("df") >= min_df)
+    return numbered(terms, [F.desc("df"), F.asc("term")], "index")
 
 
-def hashing_tf(buckets: int = VOCABULARY, output: str = "features") -> HashingTF:
+def count_entries(tokenized: DataFrame, terms: DataFrame | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Sparse count vectors as rows ``(doc_id, index, term, tf, df)``, over ``terms`` from :func:`vocabulary`."""
+    terms = vocabulary(tokenized) if terms is None else terms
+    joined = join_counted(term_frequency(tokenized), terms, "term", "doc_id", F.col("df"), shard_rows)
+    return joined.select("doc_id", "index", "term", "tf", "df")
+
+
+def idf_entries(tokenized: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """Sparse TF-IDF vectors as rows ``(doc_id, index, term, tfidf)``; token-less documents count."""
+    n_docs = tokenized.select(F.count("*")).scalar()
+    weight = F.col("tf") * inverse_document_frequency(F.col("df"), n_docs)
+    return count_entries(tokenized, terms).select("doc_id", "index", "term", weight.alias("tfidf"))
+
+
+def count_vectorizer(tokenized: DataFrame, vocab_size: int | None = None, min_df: int = 1, output: str = "features"):
+    """A fitted count model for trainers that take vectors.
+
+    It holds every term found in ``min_df`` documents on the driver, about 100 bytes each; only a
+    caller who names ``vocab_size`` gets fewer. Terms with equal counts come in no fixed order, so
+    results name terms and never their indices.
+    """
+    size = vocab_size or max(1, document_frequency(tokenized).where(F.col("df") >= min_df).count())
+    return CountVectorizer(inputCol="tokens", outputCol=output, vocabSize=size, minDF=min_df).fit(tokenized)
+
+
+def hashing_tf(buckets: int = BUCKETS, output: str = "features") -> HashingTF:
     return HashingTF(inputCol="tokens", outputCol=output, numFeatures=buckets)
 
 
@@ -68,17 +93,9 @@ def sparse_entries(vectors: DataFrame, vector_col: str, id_col: str = "doc_id")
     return vectors.select(id_col, F.inline(entries))
 
 
-def bounded_vocabulary(tokenized: DataFrame, max_words: int, tokens_col: str = "tokens") -> DataFrame:
-    """Replace words by hash buckets, but only if there are more than ``max_words`` distinct ones.
-
-    Word2Vec keeps its vocabulary on the driver. Hashing bounds it without dropping a
-    word: words that share a bucket share a vector.
-    """
-    words = exploded(tokenized, [], tokens_col, "word")
-    # Allow for the sketch's error (5 percent standard deviation) well below the bound.
-    if words.agg(F.approx_count_distinct("word")).first()[0] <= 0.8 * max_words:
-        return tokenized
-    bucket = F.transform(tokens_col, lambda word: F.pmod(F.xxhash64(word), F.lit(max_words)).cast("string"))
+def hashed_words(tokenized: DataFrame, buckets: int, tokens_col: str = "tokens") -> DataFrame:
+    """Words replaced by one of ``buckets`` hash buckets; words that share a bucket will share a vector."""
+    bucket = F.transform(tokens_col, lambda word: F.pmod(F.xxhash64(word), F.lit(buckets)).cast("string"))
     return tokenized.withColumn(tokens_col, bucket)
 
 
@@ -88,16 +105,18 @@ def fit_word_vectors(
     min_count: int = 1,
     seed: int = 1,
     partitions: int | None = None,
-    max_words: int = 2_000_000,
+    buckets: int | None = None,
     tokens_col: str = "tokens",
 ):
     """Train Word2Vec; returns the model and the documents as it expects them.
 
     Training runs in ``partitions`` parts, the session's parallelism unless given, never
-    in one task. With an explicit seed and partition count, results repeat.
+    in one task. With an explicit seed and partition count, results repeat. The model keeps two
+    vectors per distinct word on the driver; a caller whose vocabulary is too large for that
+    names a number of ``buckets``, and words are hashed to them.
     """
     partitions = partitions or tokenized.sparkSession.sparkContext.defaultParallelism
-    docs = bounded_vocabulary(tokenized, max_words, tokens_col)
+    docs = hashed_words(tokenized, buckets, tokens_col) if buckets else tokenized
     model = Word2Vec(
         vectorSize=size, minCount=min_count, seed=seed, numPartitions=partitions,
         inputCol=tokens_col, outputCol="features",

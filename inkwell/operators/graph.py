@@ -34,17 +34,14 @@ def sentence_graph_edges(
 ) -> DataFrame:
     """Weighted sentence pairs, self-pairs included: ``(doc_id, src, dst, weight)``, ``src <= dst``.
 
-    ``words`` is ``array<array<string>>``. Sentences meet on the words they share, so the
-    work follows the edges there are and never the grid of all pairs.
+    ``words`` is ``array<array<string>>``. Shared words are counted inside the document's row, a block of
+    source sentences at a time: no join, no shuffle, and memory follows a block's links.
     """
-    sentences = exploded(word_lists, ["doc_id"], words_col, "idx", "_words")
-    words = exploded(sentences, ["doc_id", "idx", F.size("_words").alias("n")], F.array_distinct("_words"), "word")
-    a = words.select("doc_id", "word", F.col("idx").alias("src"), F.col("n").alias("n_a"))
-    b = words.select("doc_id", "word", F.col("idx").alias("dst"), F.col("n").alias("n_b"))
-    pairs = a.join(b, ["doc_id", "word"]).where("src <= dst")
-    counted = pairs.groupBy("doc_id", "src", "dst", "n_a", "n_b").agg(F.count("*").alias("shared"))
+    shared = word_lists.select("doc_id", F.col(words_col)).mapInArrow(
+        kernels.shared_word_counts, f"doc_id {word_lists.schema['doc_id'].dataType.simpleString()}, src int, dst int, n_a int, n_b int, shared long"
+    )
     weight = similarity(F.col("shared"), F.col("n_a"), F.col("n_b")).cast("double")
-    return counted.select("doc_id", "src", "dst", weight.alias("weight")).where("weight > 0")
+    return shared.select("doc_id", "src", "dst", weight.alias("weight")).where("weight > 0")
 
 
 def score_sentences(

@@ -106,22 +106,26 @@ def word_graph_edges(
 ) -> DataFrame:
     """Both directions of every 0/1 edge between words near each other: ``(doc_id, w1, w2)``.
 
-    The pairs of one document sit in one partition, so repeats vanish before the shuffle.
-    Where vertices and edges use different word lists, only edges between vertices stay.
+    A document's edges come from its own row alone: no join, no shuffle. Where vertices and
+    edges use different word lists, only edges between vertices stay. ``doc_id`` is one row's.
     """
-    pairs = F.flatten(F.transform(F.col(edge_col), lambda words: within_window(words, window)))
-    one_way = exploded(word_lists, ["doc_id"], pairs, "pair")
-    both = F.array(
-        F.struct(F.col("pair.w1").alias("w1"), F.col("pair.w2").alias("w2")),
-        F.struct(F.col("pair.w2").alias("w1"), F.col("pair.w1").alias("w2")),
+    lists = word_lists.select("doc_id", F.col(vertex_col).alias("_vertices"), F.col(edge_col).alias("_edges"))
+    pairs = F.flatten(F.transform(F.col("_edges"), lambda words: within_window(words, window)))
+    if vertex_col != edge_col:
+        unknown = F.array_except(F.flatten("_edges"), F.flatten("_vertices"))
+        lists = lists.withColumn("_unknown", unknown)
+        known = lambda p: ~F.array_contains("_unknown", p["w1"]) & ~F.array_contains("_unknown", p["w2"])
+        pairs = F.filter(pairs, known)
+    # Arrays of strings are made distinct by hash, arrays of structs by comparing all with all; the
+    # length in front tells where the first word ends.
+    joined = lambda a, b: F.concat(F.length(a).cast("string"), F.lit(":"), a, b)
+    both = F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(joined(p["w1"], p["w2"]), joined(p["w2"], p["w1"])))))
+    edges = exploded(lists, ["doc_id"], both, "_edge")
+    size = F.substring_index("_edge", ":", 1)
+    rest = F.substr("_edge", F.length(size) + 2)
+    return edges.select(
+        "doc_id", F.substr(rest, F.lit(1), size.cast("int")).alias("w1"), F.substr(rest, size.cast("int") + 1).alias("w2")
     )
-    edges = exploded_structs(one_way, ["doc_id"], both).distinct()
-    if vertex_col == edge_col:
-        return edges
-    known = word_vertices(word_lists, vertex_col).select("doc_id", "word")
-    for end in ("w1", "w2"):
-        edges = edges.join(known.withColumnRenamed("word", end), ["doc_id", end], "left_semi")
-    return edges.select("doc_id", "w1", "w2")
 
 
 def segment_runs(docs: DataFrame, lexicon: DataFrame, token_class: str = "reference") -> DataFrame:

@@ -22,7 +22,7 @@ def fit_topics(
     optimizer: str = "em",
     max_iter: int = 20,
     seed: int = 1,
-    vocab_size: int = features.VOCABULARY,
+    vocab_size: int | None = None,
     min_df: int = 1,
     partitions: int | None = None,
 ) -> PipelineModel:
@@ -32,7 +32,8 @@ def fit_topics(
     ``"count"`` an IDF column is still produced. ``vectorizer`` is ``"count"`` or
     ``"hashing"``. ``optimizer="em"`` spreads a document-term graph over the executors;
     ``"online"`` keeps only a (k x vocabulary) matrix between mini-batches and is the
-    choice for large corpora. The vocabulary bounds what reaches the driver.
+    choice for large corpora. Every term of the corpus is in the vocabulary unless ``vocab_size``
+    names fewer; the driver then holds a (k x vocabulary) matrix of doubles.
 
     Input order affects training, so documents are placed by id before it. Trainings still
     differ slightly where terms tie on their count (see ``features.count_vectorizer``).
@@ -43,9 +44,9 @@ def fit_topics(
     placed = tokenized.repartition(partitions, "doc_id").sortWithinPartitions("doc_id").persist()
     try:
         if vectorizer == "count":
-            counts = features.count_vectorizer(vocab_size, min_df).fit(placed)
+            counts = features.count_vectorizer(placed, vocab_size, min_df)
         else:
-            counts = features.hashing_tf(vocab_size)
+            counts = features.hashing_tf(vocab_size or features.BUCKETS)
         weights = features.idf().fit(counts.transform(placed))
         prepared = PipelineModel(stages=[counts, weights])
         lda = LDA(

@@ -32,31 +32,40 @@ def test_join_counted_places_hot_rows_in_every_shard(spark):
     assert joined.where("k = 0").select("n").distinct().collect()[0]["n"] == 334
 
 
-def test_lists_are_cut_into_parts_only_when_oversized(spark):
-    rows = [("hot", i, [f"h{i}a", f"h{i}b"]) for i in range(50)] + [("cold", 1, ["x"]), ("cold", 0, ["y"]), ("none", 0, None)]
+@pytest.mark.parametrize("rows_per_range", [7, 1_000_000])
+def test_lists_are_laid_end_to_end_whatever_a_key_holds(spark, rows_per_range):
+    rows = [("hot", i, [f"h{i}a", f"h{i}b"]) for i in range(300)] + [("cold", 1, ["x"]), ("cold", 0, ["y"]), ("none", 0, None), ("void", 0, []), (None, 1, ["n"])]
     df = spark.createDataFrame(rows, "k string, at long, items array<string>")
-    whole = {r["k"]: r["items"] for r in aggregates.concat_lists(df, "k", "items", "at").collect()}
-    assert whole == {"hot": [x for _, _, items in rows[:50] for x in items], "cold": ["y", "x"], "none": []}
-    parts = aggregates.concat_lists(df, "k", "items", "at", max_items=20).collect()
-    hot = [r for r in parts if r["k"] == "hot"]
-    assert len(hot) == hot[0]["parts"] == 5
-    assert sorted(x for r in hot for x in r["items"]) == sorted(whole["hot"])
+    got = {}
+    for r in aggregates.concat_lists(df, "k", "items", "at", rows_per_range).orderBy("k", "pos").collect():
+        got.setdefault(r["k"], []).append((r["pos"], r["value"]))
+    hot = [x for _, _, items in rows[:300] for x in items]
+    assert got == {"hot": list(enumerate(hot)), "cold": [(0, "y"), (1, "x")], None: [(0, "n")]}
+    assert aggregates.concat_lists(df.limit(0), "k", "items", "at").count() == 0
 
 
-def test_count_and_idf_vectors_equal_the_tables(spark, tokenized):
-    model = features.count_vectorizer().fit(tokenized)
+def test_count_and_idf_entries_equal_the_models(spark, tokenized):
+    model = features.count_vectorizer(tokenized)
     counted = model.transform(tokenized)
     weighted = features.idf().fit(counted).transform(counted)
     entries = features.sparse_entries(weighted, "idf").collect()
     got = {(r["doc_id"], model.vocabulary[r["index"]]): r["value"] for r in entries}
-    want = {(r["doc_id"], r["term"]): r["tfidf"] for r in features.tfidf(tokenized).collect()}
+    want = {(r["doc_id"], r["term"]): r["tfidf"] for r in features.idf_entries(tokenized).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    terms = features.vocabulary(tokenized).orderBy("index").collect()
+    assert [r["index"] for r in terms] == list(range(len(terms)))
+    assert [(r["df"], r["term"]) for r in terms] == sorted(((r["df"], r["term"]) for r in terms), key=lambda t: (-t[0], t[1]))
 
 
-def test_large_vocabularies_are_hashed_not_dropped(tokenized):
-    assert features.bounded_vocabulary(tokenized, 1000) is tokenized
-    bounded = features.bounded_vocabulary(tokenized, 4)
-    words = bounded.select(F.explode("tokens").alias("w"))
+def test_vocabularies_have_no_cap(spark):
+    words = spark.range(300_000).groupBy((F.col("id") % 100).alias("doc_id")).agg(F.collect_list(F.format_string("w%d", "id")).alias("tokens"))
+    terms = features.vocabulary(words)
+    assert terms.count() == terms.select("index").distinct().count() == 300_000
+    assert features.count_entries(words, terms).count() == 300_000
+
+
+def test_words_are_hashed_only_when_asked(tokenized):
+    words = features.hashed_words(tokenized, 4).select(F.explode("tokens").alias("w"))
     assert words.select("w").distinct().count() <= 4
     assert words.count() == tokenized.select(F.explode("tokens")).count()
 
