@@ -124,6 +124,17 @@ def in_order(messages: DataFrame, parts: int) -> DataFrame:
     return placed.withColumn("position", F.col("_before") + F.col("_n")).withColumn("_previous", F.coalesce("_lag", "_end"))
 
 
+def with_heads(linked: DataFrame) -> DataFrame:
+    """Add ``_head``, the turn of the last message up to each one that is not linked by order; in two levels, as above."""
+    mark = F.when(F.coalesce(F.col("linked_by") != "order", F.lit(True)), F.col("turn"))
+    inside = Window.partitionBy("_range", "conv_id").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = linked.groupBy("conv_id", "_range").agg(F.max_by("turn", F.when(mark.isNotNull(), F.col("position"))).alias("_last"))
+    carried = ranges.select("conv_id", "_range", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+    placed = linked.withColumn("_own", F.last(mark, ignorenulls=True).over(inside)).join(carried, ["conv_id", "_range"])
+    return placed.withColumn("_head", F.coalesce("_own", "_carried")).drop("_own", "_carried", "_range")
+
+
 def conversations(messages: DataFrame, rows_per_part: int = 500_000) -> DataFrame:
     """One row per message: conv_id, turn, role, body, n_quotes, max_depth, reply_conv, reply_turn, linked_by, root_conv,
     root_turn, position.
@@ -144,13 +155,17 @@ def conversations(messages: DataFrame, rows_per_part: int = 500_000) -> DataFram
     linked = materialize(
         linked.withColumn("reply_conv", F.when(F.col("linked_by") == "order", F.col("conv_id")).otherwise(F.col("reply_conv")))
         .withColumn("reply_turn", F.coalesce("reply_turn", "_previous"))
-        .select("conv_id", "turn", "role", "body", "n_quotes", "max_depth", "reply_conv", "reply_turn", "linked_by", "position"),
+        .select("conv_id", "turn", "role", "body", "n_quotes", "max_depth", "reply_conv", "reply_turn", "linked_by", "position", "_range"),
         "linked",
     )
-    answers = linked.where("reply_turn IS NOT NULL").select(F.struct("conv_id", "turn").alias("node"), F.struct(F.col("reply_conv").alias("conv_id"), F.col("reply_turn").alias("turn")).alias("parent"))
-    roots = flattened(answers.distinct()).select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"))
+    # Messages that follow in order belong to the last message before them that does not: their head. Only heads form trees.
+    linked = materialize(with_heads(linked), "headed")
+    heads = linked.select("conv_id", "turn", "_head").distinct()
+    to = heads.select(F.col("conv_id").alias("reply_conv"), F.col("turn").alias("reply_turn"), F.struct("conv_id", F.col("_head").alias("turn")).alias("parent"))
+    answers = linked.where("linked_by = 'quote'").join(to, ["reply_conv", "reply_turn"]).select(F.struct("conv_id", "turn").alias("node"), "parent").distinct()
+    roots = flattened(answers).select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("_head"), F.col("root.conv_id").alias("root_conv"), F.col("root.turn").alias("root_turn"))
     columns = ["conv_id", "turn", "role", "body", "n_quotes", "max_depth", "reply_conv", "reply_turn", "linked_by", "root_conv", "root_turn", "position"]
-    threads = linked.join(roots, ["conv_id", "turn"], "left").withColumn("root_conv", F.coalesce("root_conv", "conv_id")).withColumn("root_turn", F.coalesce("root_turn", "turn"))
+    threads = linked.join(roots, ["conv_id", "_head"], "left").withColumn("root_conv", F.coalesce("root_conv", "conv_id")).withColumn("root_turn", F.coalesce("root_turn", "_head"))
     nothing = F.lit(None).cast("long")
     alone = rows.where("conv_id IS NULL OR turn IS NULL").select(
         "conv_id", "turn", "role", "body", "n_quotes", "max_depth", nothing.alias("reply_conv"), nothing.alias("reply_turn"), F.lit(None).cast("string").alias("linked_by"),
