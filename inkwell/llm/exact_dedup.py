@@ -216,7 +216,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Of equal texts (A-Z lower-cased, NULL as empty) the row with the largest id stays. An empty
     table gives no rows; texts of any length are hashed whole; other columns are not read.
-    Rows that repeat an id with the same text count as copies, and all of them are kept if it is the largest."""
+    Rows that repeat an id with the same text count as copies, and all of them are kept if it is the largest.
+    A NULL id is smaller than any other; where all are NULL, all rows are kept."""
     keyed = materialize(digests(docs, id_col, text_col), "digests")
     live = build_index(keyed)
     # Both sides are laid out by digest as the join asks, so that runtime re-planning can split a hot group.
@@ -224,14 +225,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; of rows alike in id and text one stays."""
-    stays = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept_id"), F.unhex("text_sha256").alias("_digest")).distinct()
+    stays = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_stay_id"), F.unhex("text_sha256").alias("_stay_digest")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("_kept_id", F.col(id_col).cast("long")).withColumn("_digest", F.unhex(F.sha2(lower_ascii(text), 256)))
-    return rows.join(stays, ["_kept_id", "_digest"], "left_semi").dropDuplicates(["_kept_id", "_digest"]).select(*docs.columns)
+    same = F.col("_kept_id").eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest"))
+    return rows.join(stays, same, "left_semi").dropDuplicates(["_kept_id", "_digest"]).select(*docs.columns)

@@ -38,6 +38,12 @@ def test_largest_id_of_equal_texts_stays(frame):
     assert dedup(frame([])).count() == 0 and kept(frame([])).count() == 0
 
 
+def test_missing_ids(frame):
+    rows = [(None, "a"), (None, "a"), (1, "a"), (None, "only"), (None, "only")]
+    assert sorted((r.doc_id is None, r.kept, r.group_size) for r in dedup(frame(rows)).collect()) == [(False, True, 3), (True, False, 3), (True, False, 3), (True, True, 2), (True, True, 2)]
+    assert sorted(r.text for r in kept(frame(rows)).collect()) == ["a", "only"]
+
+
 def test_changes_keep_the_index_live(frame):
     index = build_index(digests(frame([(1, "a"), (2, "b"), (3, "c"), (4, "A")])))
     changed = apply_changes(index, digests(frame([(5, "b"), (6, "d"), (7, "c")])), digests(frame([(0, "a"), (0, "c"), (0, "nowhere")])), 3)
