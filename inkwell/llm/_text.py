@@ -8,11 +8,24 @@ import types
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 WINDOW_BYTES = 1 << 21  # working arrays are made for about this many bytes at a time
 
 
+BATCH_BYTES = 4 << 20  # of texts that travel to a Python worker at a time, unless the session says otherwise
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session that bounds the bytes of an Arrow batch: ten thousand long texts are no small batch."""
+    conf = df.sparkSession.conf
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     with np.errstate(over="ignore"):
@@ -130,7 +143,7 @@ class ChunkCodes:
     Beyond ``limit`` entries the store starts anew, which costs time and changes no result.
     """
 
-    def __init__(self, encode, limit: int = 2_000_000):
+    def __init__(self, encode, limit: int = 500_000):
         self.encode, self.limit = encode, limit
         self.clear()
 

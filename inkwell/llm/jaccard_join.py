@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm._text import PRIME, ascii_space, folded_codes, mix, runs, span_hashes, text_bytes, windows
+from inkwell.llm._text import PRIME, ascii_space, folded_codes, mix, runs, small_batches, span_hashes, text_bytes, windows
 from inkwell.session import materialize
 
 FOLDED, SPACE = folded_codes(), ascii_space()
@@ -35,7 +35,7 @@ SPARE = 1.25  # segments per segment that must agree
 CLASH = 40.0  # cost of a signature on a segment of one expected token's weight less
 BROADCAST_ROWS = 200_000
 TASK_ROWS = 2_000_000  # index rows that one task sorts
-SEEN_SETS = 500_000
+SEEN_SETS = 200_000
 SIGNS = "key long, cls long, rule long"
 SKETCH = 512  # bits of a parity sketch
 LANES = [f"s{i}" for i in range(SKETCH // 64)]
@@ -204,7 +204,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str):
         self.spark = docs.sparkSession
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         self.words, self.num, self.den, self.bands = words, num, den, Bands(num, den)
 
     def described(self) -> DataFrame:

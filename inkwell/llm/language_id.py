@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm._text import text_bytes, windows
+from inkwell.llm._text import small_batches, text_bytes, windows
 
 BINS = 2048
 TRAINING_ROWS = 6000  # labelled texts that a model is fitted on, shared evenly by the languages
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS, id_col: str = "doc_
                     [batch.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2).slice(i, j - i)], ["lang", "x", "id"]
                 )
 
-    rows = drawn.select("lang", "text", "_id").mapInArrow(featured, "lang string, x binary, id long").dropDuplicates(["lang", "id"]).toArrow()
+    rows = small_batches(drawn).select("lang", "text", "_id").mapInArrow(featured, "lang string, x binary, id long").dropDuplicates(["lang", "id"]).toArrow()
     x = np.stack([np.frombuffer(b, np.float16) for b in rows.column("x").to_pylist()])
     y = np.array([languages.index(v) for v in rows.column("lang").to_pylist()])
     order = np.lexsort((rows.column("id").to_numpy(), y))
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", "text", _has_letter())
-    return rows.mapInArrow(predicted, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return small_batches(rows).mapInArrow(predicted, "doc_id long, lang_pred string, score double, ambiguous boolean")
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -197,4 +197,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             yield batch.select(range(len(names))).filter(pa.array(keep))
 
     letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_has_letter")
-    return docs.select(*names, letters).mapInArrow(filtered, docs.schema)
+    return small_batches(docs).select(*names, letters).mapInArrow(filtered, docs.schema)

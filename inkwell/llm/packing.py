@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm._text import text_bytes, windows
+from inkwell.llm._text import small_batches, text_bytes, windows
 from inkwell.llm._tokenizer import byte_bpe
 from inkwell.session import materialize
 
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: st
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, schema)
+    return small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(cut, schema)
 
 
 class Run:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm._text import ascii_space, runs, text_bytes, windows
+from inkwell.llm._text import ascii_space, runs, small_batches, text_bytes, windows
 
 PATTERN_KINDS = ("email", "ip", "card", "phone")
 FIELD_KINDS = ("number", "person", "secret")
@@ -391,7 +391,7 @@ def find(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], ["doc_id", *(f"n_{k}" for k in PATTERN_KINDS), "base_sha256", "spans"])
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in PATTERN_KINDS) + ", base_sha256 string, spans string"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(searched, schema)
+    return small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(searched, schema)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -424,4 +424,4 @@ def redact(docs: DataFrame, field: Field | None = None, text_col: str = "text")
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(replaced, docs.schema)
+    return small_batches(docs).mapInArrow(replaced, docs.schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm._text import PRIME, ascii_space, folded_codes, mix, runs, span_hashes, text_bytes, windows
+from inkwell.llm._text import PRIME, ascii_space, folded_codes, mix, runs, small_batches, span_hashes, text_bytes, windows
 
 BINS = 1 << 18
 ROWS_PER_CLASS = 4000  # labelled rows of each class that a model is fitted on
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
                 sets = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bin_, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), sets], ["id", "y", "bins"])
 
-    found = rows.mapInArrow(featured, "id long, y int, bins array<int>").toArrow().combine_chunks()
+    found = small_batches(rows).mapInArrow(featured, "id long, y int, bins array<int>").toArrow().combine_chunks()
     numbers, y_all = found.column("id").to_numpy(), found.column("y").to_numpy()
     order = np.argsort(mix(numbers.astype(np.uint64)), kind="stable")
     lists = found.column("bins").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
@@ -178,4 +178,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 p = 1 / (1 + np.exp(-np.clip(model.slope * value + model.shift, -35, 35)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scored, "doc_id long, score double")
+    return small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(scored, "doc_id long, score double")

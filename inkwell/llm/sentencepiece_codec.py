@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm._text import ChunkCodes, gather, text_bytes, windows, worker_store
+from inkwell.llm._text import ChunkCodes, gather, small_batches, text_bytes, windows, worker_store
 
 SPACE_SIGN = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # piece types of the model file
@@ -275,7 +275,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                         columns += [listed(starts, counts, pa.int64()), listed(ends, counts, pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *columns], [f"c{k}" for k in range(1 + len(columns))])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encoded, schema)
+    return small_batches(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(encoded, schema)
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -290,4 +290,4 @@ def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str
             texts = [t.decode("utf-8", "replace") for t in own.decode(ids, counts)] if len(rows) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col(id_col).cast("long"), ids_col).mapInArrow(decoded, "doc_id long, text string")
+    return small_batches(encoded).select(F.col(id_col).cast("long"), ids_col).mapInArrow(decoded, "doc_id long, text string")
