@@ -4,7 +4,8 @@ Every rolling word k-gram of a text is hashed and joined to the positions the sa
 in the templates. Hits of one template on one diagonal (text position minus template
 position) are aligned: they vote together. Neighbouring diagonals, a few inserted or missing
 words apart, are merged, and a merged span is verified by the share of the template's
-k-grams it holds.
+words that its k-grams cover: a word put in costs nothing, one replaced or left out costs itself.
+Notices of fewer than ten words differ from each other by one word, so they need all of theirs.
 
 Phrases must stand word for word: all of a phrase's 2-grams on one diagonal.
 """
@@ -19,7 +20,7 @@ from inkwell.llm.exact_dedup import lower_ascii
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE_GRAM, NOTICE_GRAM = 2, 3
 NEAR_DIAGONALS = 2  # words that may be inserted or missing between two stretches of one span
-VERIFIED_SHARE = 0.9  # of a notice's k-grams
+VERIFIED_SHARE = 0.9  # of a notice's words
 
 # Phrases and their labels.
 PHRASES = [
@@ -87,31 +88,30 @@ def hits(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataF
     placed = hashed.select("_row", "doc_id", "n_words", F.posexplode_outer(grams).alias("_i", "hash"))
     joined = placed.join(F.broadcast(known), "hash")
     place = F.when(F.col("k") == PHRASE_GRAM, F.col("_i") - 1).otherwise(F.col("_i") - F.col("n_words"))
-    return joined.select("_row", "doc_id", "n_words", "template", "label", "phrase", "grams", "at", (place - F.col("at")).alias("diagonal"))
+    return joined.select("_row", "doc_id", "n_words", "template", "label", "phrase", "k", "grams", "at", (place - F.col("at")).alias("diagonal"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list = PHRASES, notices: list = NOTICES) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``base`` columns tell of the phrases; ``labels`` adds the notices whose spans are verified;
-    ``score`` is the largest share found of any template. NULL and empty texts have no words, labels ''
+    ``score`` is the largest share of k-grams found of any template. NULL and empty texts have no words, labels ''
     and score 0. Repeated rows are scanned one by one. Other columns are not read."""
     spark = docs.sparkSession
     found = hits(docs, templates(spark, phrases, notices), id_col, text_col)
-    keys = ["_row", "doc_id", "n_words", "template", "label", "phrase", "grams"]
-    bit = F.expr("shiftleft(1L, at)")
-    diagonals = found.groupBy(*keys, "diagonal").agg(F.bit_or(bit).alias("held"))
-    exact = F.col("phrase") & (F.bit_count("held") == F.col("grams"))
+    keys = ["_row", "doc_id", "n_words", "template", "label", "phrase", "k", "grams"]
     order = Window.partitionBy("_row", "template").orderBy("diagonal")
-    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR_DIAGONALS, F.lit(True)) | F.col("phrase")
-    merged = (
-        diagonals.withColumn("_new", apart.cast("int"))
-        .withColumn("_span", F.sum("_new").over(order))
-        .groupBy(*keys, "_span")
-        .agg(F.bit_or("held").alias("held"), F.min("diagonal").alias("diagonal"))
-    )
-    share = F.when(F.col("template") >= 0, F.bit_count("held") / F.col("grams")).otherwise(0.0)
-    verified = ~F.col("phrase") & (F.col("template") >= 0) & (share >= VERIFIED_SHARE)
+    near = F.when(F.col("phrase"), 0).otherwise(NEAR_DIAGONALS)
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > near, F.lit(True))
+    spans = found.withColumn("_new", apart.cast("int")).withColumn("_span", F.sum("_new").over(order))
+    places = spans.groupBy(*keys, "_span", "at").agg(F.min("diagonal").alias("diagonal"))
+    # A k-gram covers k words, or those up to where the next one that is held begins.
+    after = F.lead("at").over(Window.partitionBy("_row", "template", "_span").orderBy("at")) - F.col("at")
+    places = places.withColumn("_words", F.least(F.coalesce(after, F.col("k")), F.col("k")))
+    merged = places.groupBy(*keys, "_span").agg(F.count("*").alias("held"), F.sum("_words").alias("covered"), F.min("diagonal").alias("diagonal"))
+    exact = F.col("phrase") & (F.col("held") == F.col("grams"))
+    share = F.when(F.col("template") >= 0, F.col("held") / F.col("grams")).otherwise(0.0)
+    verified = ~F.col("phrase") & (F.col("template") >= 0) & (F.col("covered") >= VERIFIED_SHARE * (F.col("grams") + F.col("k") - 1))
     per_doc = merged.groupBy("_row", "doc_id", "n_words").agg(
         F.sum(exact.cast("long")).alias("n_base"),
         F.min(F.when(exact, F.col("diagonal"))).cast("long").alias("first_word"),

@@ -127,3 +127,21 @@ def test_spans_with_a_word_more_or_less_are_merged(frame):
     long = [("a1 a2 a3 a4 a5 a6 a7 a8 a9 b1 b2 b3 b4 b5 b6 b7 b8 b9 c1 c2 c3 c4 c5 c6", "long")]
     text = long[0][0].replace("b3", "b3 extra")
     assert license_scan.scan(frame([(1, text)]), notices=long).first().labels == "long"
+
+
+EDITED = [label for notice, label in license_scan.NOTICES if len(notice.split()) >= 14]
+
+
+def test_real_notices_survive_one_edited_word(frame):
+    notices = {label: notice.split() for notice, label in license_scan.NOTICES}
+    rows = []
+    for label in EDITED:
+        w = notices[label]
+        m = len(w) // 2
+        rows += [(f"{label} {how}", " ".join(["x", "y", *w[:m], *new, *w[to:], "z"])) for how, new, to in (("more", ["qq"], m), ("less", [], m + 1), ("other", ["qq"], m + 1))]
+    rows.append(("none", " ".join(notices["isc"][:9])))
+    rows += [("short", "licensed under the apache qq license version 2 0"), ("two", "licensed under the gnu general public license version 2"), ("sa", "licensed under cc by sa 4 0")]
+    names = [name for name, _ in rows]
+    got = {names[r.doc_id]: r.labels.split(",") for r in license_scan.scan(frame([(i, text) for i, (_, text) in enumerate(rows)])).collect()}
+    assert len(EDITED) == 5 and not [name for name in names[:15] if name.split()[0] not in got[name]]
+    assert got["none"] == [""] and "gpl-3.0" not in got["two"] and "gpl-2.0" in got["two"] and "cc-by-4.0" not in got["sa"] and "cc-by-sa-4.0" in got["sa"]
