@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.exact_dedup import lower_ascii
+from inkwell.llm.license_texts import paragraphs
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASE_GRAM, NOTICE_GRAM = 2, 3
@@ -30,7 +31,7 @@ PHRASES = [
     ("mit license", "mit"),
 ]
 
-# Opening words of well-known license notices, at most 63 k-grams each.
+# Opening words of well-known license notices.
 NOTICES = [
     ("licensed under the apache license version 2 0", "apache-2.0"),
     ("licensed under the gnu general public license version 3", "gpl-3.0"),
@@ -48,6 +49,9 @@ NOTICES = [
     ("all rights reserved", "all-rights-reserved"),
 ]
 
+# What is looked for by default: the openings, and whole paragraphs of notices and licenses, of any length.
+TEMPLATES = NOTICES + paragraphs()
+
 NO_HASH = -7046029254386353131  # marks the one row that every text has, k-grams or not
 
 
@@ -63,7 +67,7 @@ def rolling(hashed: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), gram)).otherwise(F.array().cast("array<bigint>"))
 
 
-def templates(spark: SparkSession, phrases: list = PHRASES, notices: list = NOTICES) -> DataFrame:
+def templates(spark: SparkSession, phrases: list = PHRASES, notices: list = TEMPLATES) -> DataFrame:
     """(template, label, phrase, k, grams, hash, at): a row per k-gram position of every template, and the sentinel.
 
     As many rows as the templates have words: a fixed size, whatever the corpus."""
@@ -91,7 +95,7 @@ def hits(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataF
     return joined.select("_row", "doc_id", "n_words", "template", "label", "phrase", "k", "grams", "at", (place - F.col("at")).alias("diagonal"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list = PHRASES, notices: list = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: list = PHRASES, notices: list = TEMPLATES) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``base`` columns tell of the phrases; ``labels`` adds the notices whose spans are verified;

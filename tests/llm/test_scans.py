@@ -145,3 +145,19 @@ def test_real_notices_survive_one_edited_word(frame):
     got = {names[r.doc_id]: r.labels.split(",") for r in license_scan.scan(frame([(i, text) for i, (_, text) in enumerate(rows)])).collect()}
     assert len(EDITED) == 5 and not [name for name in names[:15] if name.split()[0] not in got[name]]
     assert got["none"] == [""] and "gpl-3.0" not in got["two"] and "gpl-2.0" in got["two"] and "cc-by-4.0" not in got["sa"] and "cc-by-sa-4.0" in got["sa"]
+
+
+def test_templates_of_any_length_and_whole_licenses(frame):
+    many = [f"w{i}" for i in range(200)]
+    docs = frame([(1, "x " + " ".join(many) + " y"), (2, " ".join(many[:150])), (3, " ".join(many[:90] + ["qq"] + many[91:]))])
+    for phrases, notices, whole in (([(" ".join(many), "long")], [], [1]), ([], [(" ".join(many), "long")], [1, 3])):
+        got = {r.doc_id: r.labels for r in license_scan.scan(docs, phrases=phrases, notices=notices).collect()}
+        assert got == {i: "long" if i in whole else "" for i in (1, 2, 3)}
+    parts = [
+        ("mit-text", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+        ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ]
+    parts += [(label, words) for words, label in license_scan.paragraphs()]
+    rows = license_scan.scan(frame([(i, f"so {text} then") for i, (_, text) in enumerate(parts)])).collect()
+    assert {label for label, _ in parts} >= {"apache-2.0", "gpl", "gpl-2.0", "gpl-3.0", "mpl-2.0", "mit-text", "bsd", "isc"}
+    assert len(rows) == len(parts) and not [r.doc_id for r in rows if parts[r.doc_id][0] not in r.labels.split(",")]
