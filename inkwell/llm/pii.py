@@ -2,8 +2,9 @@
 
 The field labels space-separated tokens from their shapes, a few cue words and their
 neighbours. It is trained on the small labelled table below and decoded by Viterbi, many
-token chains at a time in numpy. A token takes part only within reach of a token with a
-digit, an equals sign or a cue; all others can only be "outside", which cuts a text into short chains.
+token chains at a time in numpy. A chain begins as what is within reach of a token with a
+digit, an equals sign or a cue, and grows until its labels are "outside" within reach of both its ends
+(or the text ends); tokens in no chain are outside. Names are only taken after a title.
 
 Patterns come first: a span of the field that touches one of theirs is dropped.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,8 @@ PATTERN_KINDS = ("email", "ip", "card", "phone")
 FIELD_KINDS = ("number", "person", "secret")
 KINDS = PATTERN_KINDS + FIELD_KINDS
 LABELS = ["O"] + [f"{p}-{k}" for k in FIELD_KINDS for p in "BI"]
-REACH = 2  # tokens on either side of a digit, equals sign or cue that may be labelled
+REACH = 2  # tokens on either side of a digit, equals sign or cue that are looked at first, and that must be outside at a chain's ends
+SIGNS = b"\"'.,;:!?()[]"  # around a token
 BINS = 1 << 12
 SPACE = ascii_space()
 
@@ -90,6 +92,11 @@ Mrs. [person:Maria] [person2:Lopez] wrote to us
 Dr. [person:Karl] [person2:Weber] spoke first
 Ms. [person:Jane] [person2:Doe] left early
 Prof. [person:Hans] [person2:Meyer] is here
+Dr. [person:Anna] [person2:Maria] [person2:Keller] came late
+Mr. [person:Jan] [person2:Peter] [person2:Karl] [person2:Moser] wrote to us
+and Mrs. [person:Eva] [person2:Maria] [person2:Lang] spoke
+they saw (Mr. [person:Green]) there
+he came (Mrs. [person:Ida] [person2:Lund]) and left
 ask Dr. [person:Smith] about it
 we met Mr. [person:Brown] and left
 dear Mrs. [person:Clark] thank you
@@ -130,7 +137,7 @@ def shape(token: bytes) -> str:
 
 def features(token: bytes) -> list[str]:
     """What is known of one token: shape, cue, how many digits, how mixed, whether it may hold a value."""
-    core = token.strip(b"\"'.,;:!?()[]")
+    core = token.strip(SIGNS)
     lowered = core.lower()
     digits, letters = sum(48 <= c < 58 for c in core), sum(65 <= c < 91 or 97 <= c < 123 for c in core)
     cue = lowered.decode("latin-1") if lowered.decode("latin-1") in CUES else ""
@@ -326,18 +333,19 @@ class Finder:
         # Cue words are short; only tokens with a cue's first letter and about a cue's length are looked up.
         initial = np.zeros(256, bool)
         initial[[c for w in CUES for c in (ord(w[0]), ord(w[0].upper()))]] = True
-        for t in np.flatnonzero(initial[data[starts]] & (ends - starts <= 12) & ~telling):
-            telling[t] = raw[starts[t] : ends[t]].strip(b"\"'.,;:!?()[]").lower().decode("latin-1") in CUES
+        sign = np.zeros(256, bool)
+        sign[list(SIGNS)] = True
+        first, last = data[starts], data[ends - 1]
+        short = (ends - starts <= 12) | sign[first] | sign[last]
+        for t in np.flatnonzero((initial[first] | sign[first]) & short & ~telling):
+            telling[t] = raw[starts[t] : ends[t]].strip(SIGNS).lower().decode("latin-1") in CUES
         if not telling.any():
             return []
         near = telling.copy()
         for d in range(1, REACH + 1):
             near[d:] |= telling[:-d] & (row[d:] == row[:-d])
             near[:-d] |= telling[d:] & (row[d:] == row[:-d])
-        at = np.flatnonzero(near)
-        cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(row[at]) > 0)) + 1
-        chains = np.split(at, cut)
-        paths = viterbi(self.field, [bins([raw[starts[t] : ends[t]] for t in chain], self.known) for chain in chains])
+        chains, paths = self.grown(near, row, lambda t: raw[starts[t] : ends[t]])
         found = []
         for chain, path in zip(chains, paths, strict=True):
             kind, begin, end = None, 0, 0
@@ -356,16 +364,36 @@ class Finder:
             i, a, b = row[first], int(starts[first]), int(ends[last])
             if kind == "person":  # a name is only taken where a title stands before it
                 title = raw[starts[first - 1] : ends[first - 1]] if first and row[first - 1] == i else b""
-                if title.strip(b".,").lower().decode("latin-1") not in HONORIFICS:
+                if title.strip(SIGNS).lower().decode("latin-1") not in HONORIFICS:
                     continue
-            while a < b and raw[a] in b"\"'(.,;:!?":
+            while a < b and raw[a] in SIGNS:
                 a += 1
-            while b > a and raw[b - 1] in b"\"').,;:!?":
+            while b > a and raw[b - 1] in SIGNS:
                 b -= 1
             if a < b:
                 out.append((int(i), kind, a - int(bounds[i]), b - int(bounds[i])))
         return out
 
+    def grown(self, near: np.ndarray, row: np.ndarray, token: Callable[[int], bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The chains of tokens in ``near`` (which is added to) and their labels; a chain at least doubles where it grows."""
+        known: dict[tuple[int, int], np.ndarray] = {}
+        while True:
+            at = np.flatnonzero(near)
+            cut = np.flatnonzero((np.diff(at) > 1) | (np.diff(row[at]) > 0)) + 1
+            chains = np.split(at, cut)
+            fresh = [c for c in chains if (int(c[0]), int(c[-1])) not in known]
+            for c, path in zip(fresh, viterbi(self.field, [bins([token(t) for t in c], self.known) for c in fresh]), strict=True):
+                known[int(c[0]), int(c[-1])] = path
+                more = max(REACH, len(c))
+                if path[-REACH:].any():
+                    after = slice(c[-1] + 1, c[-1] + 1 + more)
+                    near[after] |= row[after] == row[c[-1]]
+                if path[:REACH].any():
+                    before = slice(max(0, c[0] - more), c[0])
+                    near[before] |= row[before] == row[c[0]]
+            if np.count_nonzero(near) == len(at):
+                return chains, [known[int(c[0]), int(c[-1])] for c in chains]
+
 
 def written(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)

@@ -161,3 +161,13 @@ def test_templates_of_any_length_and_whole_licenses(frame):
     rows = license_scan.scan(frame([(i, f"so {text} then") for i, (_, text) in enumerate(parts)])).collect()
     assert {label for label, _ in parts} >= {"apache-2.0", "gpl", "gpl-2.0", "gpl-3.0", "mpl-2.0", "mit-text", "bsd", "isc"}
     assert len(rows) == len(parts) and not [r.doc_id for r in rows if parts[r.doc_id][0] not in r.labels.split(",")]
+
+
+def test_names_of_many_words_and_cues_in_signs():
+    field = pii.train()
+    names = ["Anna Maria Keller", "Anna Maria Luisa Keller", "Hans Karl Georg Otto Franz Weber"]
+    texts = [f"so we wrote to Dr. {name} about it and then the rest of us went home" for name in names] + ["they saw (Mr. Brown) there", "word " * 50 + "[Prof. Hans Peter Meyer] " + "word " * 50]
+    found = pii.Finder(field).spans(*text_bytes(pa.array(texts)))
+    assert [[t[a:b] for _, a, b in s] for t, s in zip(texts, found, strict=True)] == [[n] for n in names] + [["Brown"], ["Hans Peter Meyer"]]
+    docs = pii.Finder(field).spans(*text_bytes(pa.array(["so Dr. Anna Maria", "Keller came late"])))  # a chain ends with its text
+    assert [len(s) for s in docs] == [1, 0]
