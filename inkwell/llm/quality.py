@@ -133,8 +133,8 @@ def logistic(value: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, label_col: str = "quality") -> Model:
     """A model from at most ``rows_per_class`` labelled documents of each class, drawn by a hash of their ids.
 
-    Labels that are NULL or neither 0 nor 1 are left out, as are documents that carry both. The share of 1 among
-    all labelled documents is the prior."""
+    Labels that are NULL or neither 0 nor 1 are left out, as are documents that carry both. Of rows
+    that repeat a doc_id one is read. The share of 1 among all labelled documents is the prior."""
     y = F.col(label_col).cast("int")
     marked = labels.where(y.isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(y).alias("_y"), F.max(y).alias("_top")).where("_y = _top")
     # Labelled ids without text are left out before drawing: ids only, no texts, are shuffled.
@@ -142,7 +142,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     share = {r["_y"]: r["count"] for r in marked.groupBy("_y").count().collect()}
     draws = [marked.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(rows_per_class) for c in (0, 1)]
     drawn = F.broadcast(draws[0].unionByName(draws[1]))  # at most 2 x rows_per_class rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(drawn, "_id").select("_id", "_y", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(drawn, "_id")
+    # One row per id, whatever repeats: the text with the least hash, chosen on the executors.
+    rows = rows.groupBy("_id").agg(F.min("_y").alias("_y"), F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text"), "text")).alias("text")).select("_id", "_y", "text")
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -63,3 +63,13 @@ def test_descent_separates_a_small_table():
     model = quality.learn(sets, y, 0.5, bins=8)
     value = np.array([model.weights[s].sum() + model.intercept for s in sets])
     assert ((model.slope * value + model.shift > 0) == (y == 1)).all()
+
+
+def test_quality_reads_one_row_of_a_repeated_id(spark, frame, monkeypatch):
+    given = []
+    monkeypatch.setattr(quality, "learn", lambda sets, y, prior: given.append(([s.tolist() for s in sets], y.tolist(), prior)))
+    rows = [(1, f"copy {i}") for i in range(40)] + [(1, None)] + [(i, f"text {i}") for i in range(2, 9)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
+    quality.fit(frame(rows), labels)
+    quality.fit(frame(rows[::-1]), labels)
+    assert given[0] == given[1] and len(given[0][1]) == 8 and sum(given[0][1]) == 4 and all(given[0][0])
