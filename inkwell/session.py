@@ -6,6 +6,7 @@ import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +37,74 @@ def enable_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies; one that is gone already is no error."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class WorkingTables:
+    """The tables written inside one ``working_tables`` block."""
+
+    def __init__(self, spark: SparkSession, outer: WorkingTables | None):
+        self.spark, self.outer, self.paths = spark, outer, []
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this block that nothing will read again, before the block ends."""
+        for path in {getattr(t, "_written_at", None) for t in tables} & set(self.paths):
+            self.paths.remove(path)
+            delete_path(self.spark, path)
+
+    def keep(self, df: DataFrame, label: str = "result") -> DataFrame:
+        """``df`` as a table that outlives the block; what is no table of it yet is written down first."""
+        if getattr(df, "_written_at", None) not in self.paths:
+            df = materialize(df, label)
+        self.paths.remove(df._written_at)
+        if self.outer is not None:
+            self.outer.paths.append(df._written_at)
+        return df
+
+    def close(self) -> None:
+        while self.paths:
+            delete_path(self.spark, self.paths.pop())
+
+
+_BLOCK: ContextVar[WorkingTables | None] = ContextVar("inkwell_working_tables", default=None)
+
+
+@contextmanager
+def working_tables(spark: SparkSession):
+    """Tables materialised inside the block are deleted on leaving it, but those given to ``keep``.
+
+    What is kept belongs to the enclosing block, so that a job inside ``working_tables`` leaves
+    nothing behind. Without an enclosing block a kept table stays until its folder is deleted: only the caller
+    knows when the last reader of a result is done.
+    """
+    block = WorkingTables(spark, _BLOCK.get())
+    token = _BLOCK.set(block)
+    try:
+        yield block
+    finally:
+        _BLOCK.reset(token)
+        block.close()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader over it.
 
     Used where one result feeds several jobs: it is computed once, its lineage
     ends at the files, and a lost executor costs a re-read instead of a re-run.
+    The table belongs to the enclosing ``working_tables`` block, if there is one.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    block = _BLOCK.get()
+    if block is not None:
+        block.paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
 
 
 def ship_kernels() -> None:
