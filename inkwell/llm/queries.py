@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import exact_dedup, exact_topk, jaccard_join, language_id, license_scan, packing, pii, quality, quotation_linking, sentencepiece_codec
+from inkwell.llm import exact_dedup, exact_topk, jaccard_join, language_id, lexical_search, license_scan, packing, pii, quality, quotation_linking, sentencepiece_codec
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -67,7 +67,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_quotation_linking, op4_jaccard_join, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup, op10_pii)}
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_quotation_linking, op4_jaccard_join, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup, op10_pii, op12_lexical_search)}
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 ORACLES = {
     "op1_exact_topk": """
@@ -92,4 +99,27 @@ ORACLES = {
             doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op12_lexical_search": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER.format("text")}, '{TERM}') AS ts FROM documents
+        ),
+        s AS (SELECT count(*) AS nd, coalesce(sum(len(ts)), 0)::BIGINT AS l FROM d WHERE len(ts) > 0),
+        p AS (SELECT k, doc_id, len(ts) AS n, unnest(ts) AS term FROM d WHERE len(ts) > 0),
+        tf AS (SELECT k, doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, nd),
+        i AS (
+            SELECT r, item_id, unnest(list_distinct(regexp_extract_all({LOWER.format("text")}, '{TERM}'))) AS term
+            FROM (SELECT row_number() OVER () AS r, * FROM benchmark)
+        ),
+        g AS (
+            SELECT r, item_id, k, doc_id,
+                sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nd) // l)))))::BIGINT AS score
+            FROM i JOIN tf USING (term) JOIN w USING (term), s GROUP BY r, item_id, k, doc_id
+        ),
+        o AS (
+            SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+            FROM g WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+    """,
 }
