@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import exact_dedup, exact_topk, jaccard_join, language_id, lexical_search, license_scan, packing, pii, quality, quotation_linking, sentencepiece_codec
+from inkwell.llm import exact_dedup, exact_topk, jaccard_join, language_id, lexical_search, license_scan, packing, pii, quality, quotation_linking, sentencepiece_codec, spelling_variants
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -67,11 +67,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_quotation_linking, op4_jaccard_join, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup, op10_pii, op12_lexical_search)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_quotation_linking, op4_jaccard_join, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup, op10_pii, op11_spelling_variants, op12_lexical_search)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -99,6 +103,51 @@ ORACLES = {
             doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM t WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t
+        ),
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents
+        ),
+        few AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+        summed AS (
+            SELECT run, n, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(
+                string_split(concat(doc_id, ':', run), ''),
+                lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END))),
+                lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) AS h
+            FROM few, crc
+        ),
+        w AS (
+            SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+                sum(n)::BIGINT AS n
+            FROM summed GROUP BY word HAVING length(word) >= 6 AND sum(n) >= 5
+        ),
+        d AS (
+            SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less
+            FROM (SELECT *, unnest(range(length(word))) AS i FROM w)
+        ),
+        near AS (
+            SELECT a.word, b.word AS x, b.n AS xn FROM d a JOIN d b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+            UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.less = w.word
+            UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.less = w.word
+        ),
+        best AS (
+            SELECT word, count(*) AS n_near, max(xn) AS top, arg_min(x, (-xn, encode(x))) AS x FROM near GROUP BY word
+        ),
+        f AS (
+            SELECT w.word, CASE WHEN top >= 5 * n THEN x END AS form, n, coalesce(n_near, 0) AS n_near,
+                CASE WHEN top >= 5 * n THEN top END AS form_n
+            FROM w LEFT JOIN best USING (word)
+        ),
+        up AS (
+            SELECT word, form AS at FROM f WHERE form IS NOT NULL
+            UNION ALL SELECT up.word, f.form FROM up JOIN f ON up.at = f.word WHERE f.form IS NOT NULL
+        ),
+        ends AS (SELECT up.word, up.at FROM up JOIN f ON up.at = f.word WHERE f.form IS NULL)
+        SELECT word, form, coalesce(ends.at, word) AS root, n, n_near, form_n FROM f LEFT JOIN ends USING (word)
+    """,
     "op12_lexical_search": f"""
         WITH d AS (
             SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER.format("text")}, '{TERM}') AS ts FROM documents
