@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.llm._components import components, flattened
 from inkwell.llm._text import PRIME, ascii_space, folded_codes, mix, runs, small_batches, span_hashes, text_bytes, windows
 from inkwell.session import materialize
 
@@ -291,39 +292,6 @@ class Join:
         return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
-def flattened(parents: DataFrame) -> DataFrame:
-    """(node, root) for a forest (node, parent) whose parents are smaller than their nodes, by doubling."""
-    now = materialize(parents.select("node", F.col("parent").alias("root")), "forest")
-    while True:
-        upper = now.select(F.col("node").alias("root"), F.col("root").alias("_upper"))
-        step = materialize(now.join(upper, "root", "left").select("node", F.coalesce("_upper", "root").alias("root"), F.col("_upper").isNotNull().alias("_moved")), "forest")
-        now = step.select("node", "root")
-        if step.where("_moved").isEmpty():
-            return now
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of every node's component, for nodes that are not it.
-
-    Nodes hang on to their smallest neighbour, trees are flattened, and edges are drawn anew between roots."""
-    spark = edges.sparkSession
-    both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    rest, roots = materialize(both, "edges"), None
-    while not rest.isEmpty():
-        tree = flattened(rest.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")))
-        if roots is None:
-            roots = tree
-        else:
-            moved = tree.select(F.col("node").alias("root"), F.col("root").alias("_to"))
-            kept = roots.join(moved, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-            roots = materialize(kept.unionByName(tree), "roots")
-        a = tree.select(F.col("node").alias("a"), F.col("root").alias("_a"))
-        b = tree.select(F.col("node").alias("b"), F.col("root").alias("_b"))
-        drawn = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("_a", "a").alias("_a"), F.coalesce("_b", "b").alias("_b"))
-        rest = materialize(drawn.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).where("a <> b").distinct(), "edges")
-    return roots if roots is not None else spark.createDataFrame([], "node long, root long")
-
-
 def narrowed(rows: DataFrame, label: str) -> DataFrame:
     """Rows whose key holds more than one ``label``, of sets that still share as many as they need."""
     spread = rows.groupBy("key").agg(F.min(label).alias("_low"), F.max(label).alias("_high"), F.count("*").alias("held")).where("_low <> _high")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm import exact_dedup, exact_topk, jaccard_join, language_id, lexical_search, license_scan, packing, pii, quality, quotation_linking, sentencepiece_codec, spelling_variants
+from inkwell.llm import exact_dedup, exact_topk, jaccard_join, language_id, lexical_search, license_scan, packing, pii, quality, quotation_linking, sentencepiece_codec, spelling_variants, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -75,11 +75,36 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_quotation_linking, op4_jaccard_join, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup, op10_pii, op11_spelling_variants, op12_lexical_search)}
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_language_id, op3_quotation_linking, op4_jaccard_join, op5_quality, op6_best_fit_packing, op7_license_scan, op8_sentencepiece, op9_exact_dedup, op10_pii, op11_spelling_variants, op12_lexical_search, op13_url_filter)}
 
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+
+
+def sql_host(url: str) -> str:
+    return LOWER.format(f"regexp_extract(coalesce({url}, ''), '{url_filter.URL}', 1)")
+
+
+def sql_path(url: str) -> str:
+    return f"regexp_extract(coalesce({url}, ''), '{url_filter.URL}', 2)"
+
+
+def sql_address(url: str) -> str:
+    parts = f"string_split(regexp_extract(coalesce({url}, ''), '{url_filter.QUERY}', 1), '&')"
+    asked = f"array_to_string(list_sort(list_filter({parts}, lambda x: x <> '' AND NOT regexp_matches(x, '{url_filter.TRACKING}'))), '&')"
+    bare = rf"regexp_replace(regexp_replace({sql_host(url)}, ':(80|443)\z', ''), '^www\.', '')"
+    return rf"CASE WHEN {sql_host(url)} = '' THEN '' ELSE {bare} || regexp_replace({sql_path(url)}, '/+\z', '') || CASE WHEN {asked} = '' THEN '' ELSE '?' || {asked} END END"
+
+
+def sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 ORACLES = {
     "op1_exact_topk": """
         WITH t AS (
@@ -171,4 +196,51 @@ ORACLES = {
         )
         SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
     """,
+    "op13_url_filter": rf"""
+        WITH RECURSIVE rules(verdict, h, p) AS (VALUES {", ".join(map(str, url_filter.RULES))}),
+        pg AS (
+            SELECT page_id, url, regexp_replace(html, '{url_filter.COMMENT}', '', 'g') AS plain,
+                {sql_host("url")} AS host, {sql_path("url")} AS path, {sql_address("url")} AS address
+            FROM pages
+        ),
+        said AS (
+            SELECT url, host, path, address, replace(unnest([
+                regexp_extract(regexp_extract(plain, {sql_text(url_filter.CANONICAL_TAG)}, 1), {sql_text(url_filter.HREF)}, 1),
+                regexp_extract(regexp_extract(plain, {sql_text(url_filter.REFRESH_TAG)}, 1), {sql_text(url_filter.REFRESH_URL)}, 1)
+            ]), '&amp;', '&') AS t FROM pg
+        ),
+        whole AS (
+            SELECT address, CASE
+                WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t
+                WHEN t LIKE '//%' THEN 'http:' || t
+                WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') OR t LIKE '#%' OR t = '' OR host = '' THEN NULL
+                WHEN t LIKE '/%' THEN 'http://' || host || t
+                WHEN t LIKE '?%' THEN 'http://' || host || path || t
+                ELSE 'http://' || host || coalesce(nullif(regexp_replace(path, '[^/]*\z', ''), ''), '/') || regexp_replace(t, '^\./', '') END AS url
+            FROM said
+        ),
+        links AS (SELECT address, url, {sql_address("url")} AS other FROM whole WHERE url IS NOT NULL),
+        e AS (SELECT address AS a, other AS b FROM links WHERE other <> '' AND address <> '' UNION SELECT other, address FROM links WHERE other <> '' AND address <> ''),
+        places AS (
+            SELECT host, path, address FROM pg
+            UNION SELECT {sql_host("url")}, {sql_path("url")}, other FROM links
+        ),
+        fit AS (
+            SELECT host, path, address, h || p AS rule, verdict, row_number() OVER (
+                PARTITION BY host, path, address ORDER BY length(h || p) DESC, length(h) DESC, verdict) AS n
+            FROM places JOIN rules ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p)
+        ),
+        best AS (SELECT * FROM fit WHERE n = 1),
+        alias(address, other) AS (
+            SELECT DISTINCT address, address FROM places WHERE address <> ''
+            UNION SELECT alias.address, e.b FROM alias JOIN e ON alias.other = e.a
+        ),
+        bad AS (
+            SELECT alias.address FROM alias JOIN best ON alias.other = best.address
+            GROUP BY alias.address HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow')
+        )
+        SELECT page_id, pg.host, pg.path, rule, coalesce(verdict, CASE WHEN bad.address IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+            CASE WHEN rule IS NOT NULL THEN 'rule' WHEN bad.address IS NULL THEN 'none' ELSE 'alias' END AS via
+        FROM pg LEFT JOIN best ON best.host = pg.host AND best.path = pg.path AND best.address = pg.address LEFT JOIN bad ON bad.address = pg.address
+    """,
 }

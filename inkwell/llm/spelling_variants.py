@@ -22,8 +22,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.llm._components import flattened
 from inkwell.llm._text import gather, runs, small_batches, text_bytes, windows
-from inkwell.llm.jaccard_join import flattened
 from inkwell.session import materialize, working_tables
 
 MIN_LETTERS, MIN_COUNT = 6, 5
