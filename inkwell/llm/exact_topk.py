@@ -1,14 +1,14 @@
 """Exact top-k by inner product, without random access.
 
-Per dimension a block of candidates is a list sorted by value: read from its top for
-positive query components, from its bottom for negative ones. All lists advance together, a
-stretch at a time. What has been read of a candidate is summed; an unread component lies
-between the list's far end and the place the list has come to, which bounds every score from
-below and above. A query stops when no candidate outside its k best lower bounds can
-still pass them; the scores of those left are then resolved.
-
-Blocks are bounded in candidates and queries. Each (cell of candidates, chunk of queries) is
-one group; the k best per group are merged by rank.
+Per dimension a block of candidates is a list sorted by value, as distances from the list's median. Every query reads each
+list from both ends towards the middle, as far as what a component there can add to its score, |q| times the distance, exceeds
+a threshold that all lists share; then the threshold is lowered. So the lists advance in proportion to what they can
+still contribute. What has been read of a candidate is summed and counted; each of its unread components adds at most
+the threshold, and takes away at most that, which bounds the score from below and above.
+
+A query stops when the candidates outside its k best lower bounds that could still pass them are so few that resolving
+their scores costs less than reading on; only survivors' scores are ever resolved. Blocks are bounded in candidates and
+queries. Each (cell of candidates, chunk of queries) is one group; the k best per group are merged by rank.
 """
 
 from __future__ import annotations
@@ -18,115 +18,123 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELL_ROWS = 16_384
-CHUNK_ROWS = 4_096
-STRETCHES = (0.08, 0.25, 0.5, 1.0)  # parts of the lists read so far, after each step
+CELL_ROWS = 32_768
+CHUNK_ROWS = 2_048
+FIRST, LOWER = 8, 1.6  # the first threshold is that part of the largest contribution; each next one is lower by this factor
+LARGEST = 1 << 53  # components beyond are no exact integers
 
 
 def integers(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, v): each component x as floor(scale * x). Vectors that are NULL, or hold a NULL or
-    non-finite component, take no part; nor do rows whose id is NULL."""
+    """(row, vec_id, v): each component x as floor(scale * x). Vectors that are NULL, or hold a NULL or non-finite component
+    or one whose integer is beyond 2^53 take no part; nor do rows whose id is NULL. ``row`` tells rows apart that
+    repeat an id; it is fixed once the result has been written down."""
     v = F.col(vector_col)
     x = v.cast("array<double>")
-    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    return vectors.where(v.isNotNull() & finite & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v")
-    )
+    finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c * F.lit(float(scale))) < F.lit(float(LARGEST))))
+    usable = vectors.where(v.isNotNull() & finite & F.col(id_col).isNotNull())
+    return usable.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v"))
 
 
 class SortedLists:
-    """One block of candidates, its lists sorted by value."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], values[order]
-        n, self.dims = self.values.shape
-        at = np.argsort(self.values, axis=0, kind="stable")
-        self.ascending = np.take_along_axis(self.values, at, axis=0)
-        self.rank = np.empty_like(at)
-        np.put_along_axis(self.rank, at, np.arange(n)[:, None], axis=0)
-
-    def best(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of query, candidate id, score) of each query's k best, itself left out; ties to smaller ids."""
-        n = len(self.ids)
-        largest = float(np.abs(self.values).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(self.dims, 1)
-        kind = np.float32 if largest < 2**23 else np.float64 if largest < 2**52 else np.int64  # sums stay exact
-        values = self.values.astype(kind)
-        up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-        own = np.searchsorted(self.ids, query_ids)
-        own = np.where((own < n) & (self.ids[np.minimum(own, n - 1)] == query_ids), own, -1)
-        low_end, high_end = self.ascending[0].astype(kind), self.ascending[-1].astype(kind)
-        active, out = np.arange(len(queries)), []
-        for stretch in STRETCHES:
-            depth = n if stretch == 1.0 else int(np.ceil(n * stretch))
-            if depth < n:
-                from_top, from_bottom = self.rank >= n - depth, self.rank < depth
-                head, tail = self.ascending[n - depth].astype(kind), self.ascending[depth - 1].astype(kind)
-                # What has been read as it is; what has not, between where its list stands and where it ends.
-                read_up, read_down = values * from_top, values * from_bottom
-                up_q, down_q = up[active], down[active]
-                seen = up_q @ read_up.T + down_q @ read_down.T
-                missing_up, missing_down = (~from_top).astype(kind), (~from_bottom).astype(kind)
-                upper = seen + (up_q * head) @ missing_up.T + (down_q * tail) @ missing_down.T
-                lower = seen + (up_q * low_end) @ missing_up.T + (down_q * high_end) @ missing_down.T
-            else:
-                upper = lower = (up[active] + down[active]) @ values.T
-            mine = own[active]
-            rows = np.flatnonzero(mine >= 0)
-            lower[rows, mine[rows]] = upper[rows, mine[rows]] = self._least(kind)
-            if k < n:
-                bar = np.partition(lower, n - k, axis=1)[:, n - k]
-                alive = upper >= bar[:, None]
-            else:
-                alive = np.ones(upper.shape, bool)
-            alive[rows, mine[rows]] = False
-            left = alive.sum(axis=1)
-            done = (left <= 2 * k) | (depth == n)
-            for q in np.flatnonzero(done):
-                held = np.flatnonzero(alive[q])
-                score = self.values[held] @ queries[active[q]]  # resolves what the bounds have left open
-                first = np.lexsort((self.ids[held], -score))[:k]
-                out.append((np.full(len(first), active[q]), self.ids[held[first]], score[first]))
-            active = active[~done]
-            if not len(active):
+    """One block of candidates, its lists sorted by value. ``reads`` and ``resolved`` count components."""
+
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, values: np.ndarray):
+        self.rows, self.ids, self.values = rows, ids, values
+        n, self.dims = values.shape
+        self.reads = self.resolved = 0
+        self.centre = np.sort(values, axis=0)[n // 2] if n else np.zeros(self.dims, np.int64)
+        away = (values - self.centre).T
+        self.order = np.argsort(away, axis=1, kind="stable")
+        self.away = np.take_along_axis(away, self.order, axis=1)
+        self.largest = np.abs(self.away).max(axis=1, initial=0)
+        self.apart = 2 * int(self.largest.max(initial=0)) + 2
+        self.flat = (self.away + np.arange(self.dims)[:, None] * self.apart).ravel() if self.apart * (self.dims + 1) < 1 << 62 else None
+        self.bits = int(self.dims).bit_length()  # of a sum below which its count of components stands
+        self.small = self.away.astype(np.int32) if self.largest.max(initial=0) < 1 << 31 else self.away
+
+    def _places(self, dims: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per list the stretch, end excluded, of components no further from the middle than ``reach``."""
+        if self.flat is None:
+            found = [(np.searchsorted(self.away[d], -r, "left"), np.searchsorted(self.away[d], r, "right")) for d, r in zip(dims, reach, strict=True)]
+            return tuple(np.array(x, np.int64) for x in zip(*found, strict=True))
+        base, n = dims * self.apart, len(self.ids)
+        return np.searchsorted(self.flat, base - reach, "left") - dims * n, np.searchsorted(self.flat, base + reach, "right") - dims * n
+
+    def best(self, own_row: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(candidate's place, score) of the query's k best but itself; equal scores by smaller id."""
+        n, dims = len(self.ids), np.flatnonzero(query)
+        size, q = np.abs(query[dims]), query[dims]
+        most = size * self.largest[dims]  # what a component of each list can add or take
+        highest = (int(most.sum()) + 1) << self.bits
+        packed, narrow = highest < 1 << 62, highest < 1 << 31
+        total, count = np.zeros(n, np.int32 if narrow else np.int64), None if packed else np.zeros(n, np.int64)
+        away, factor = (self.small, q.astype(np.int32)) if narrow else (self.away, q)
+        low, high = np.zeros(len(dims), np.int64), np.full(len(dims), n)  # between them lies what is unread
+        out = np.flatnonzero(self.rows == own_row)
+        bar = max(int(most.max(initial=0)) // FIRST, 0)
+        alive = np.arange(n)
+        next_low, next_high = self._places(dims, np.minimum(bar // size, self.largest[dims])) if len(dims) else (low, high)
+        while len(dims):
+            for i, d in enumerate(dims):
+                for a, b in ((low[i], next_low[i]), (next_high[i], high[i])):
+                    if a < b:
+                        at = self.order[d, a:b]
+                        if packed:
+                            value = away[d, a:b] * (factor[i] << self.bits)
+                            value += 1
+                            np.add.at(total, at, value)
+                        else:
+                            np.add.at(total, at, away[d, a:b] * q[i])
+                            np.add.at(count, at, 1)
+            self.reads += int((next_low - low).sum() + (high - next_high).sum())
+            low, high = next_low, next_high
+            seen, left = (total >> self.bits, len(dims) - (total & ((1 << self.bits) - 1))) if packed else (total, len(dims) - count)
+            seen, left = seen.astype(np.int64), left.astype(np.int64)
+            lower, upper = seen - left * bar, seen + left * bar
+            lower[out] = upper[out] = np.iinfo(np.int64).min
+            kth = np.partition(lower, n - k)[n - k] if k < n else np.iinfo(np.int64).min
+            alive = np.flatnonzero(upper >= kth)
+            if bar == 0:
                 break
-        if not out:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return tuple(np.concatenate(part) for part in zip(*out, strict=True))
-
-    @staticmethod
-    def _least(kind):
-        return np.iinfo(np.int64).min // 2 if kind is np.int64 else -np.inf
+            bar = int(bar / LOWER)
+            next_low, next_high = self._places(dims, np.minimum(bar // size, self.largest[dims]))
+            if len(alive) * len(dims) <= (next_low - low).sum() + (high - next_high).sum():
+                break
+        alive = alive[self.rows[alive] != own_row]
+        score = self.values[alive] @ query  # resolves what the bounds have left open
+        self.resolved += len(alive) * len(query)
+        first = np.lexsort((self.rows[alive], self.ids[alive], -score))[:k]
+        return alive[first], score[first]
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, cell_rows: int = CELL_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Each query's k best candidates but itself: query_id, rank (from 1), vec_id, score.
+    """Each query row's k best candidates but itself: query_id, rank (from 1), vec_id, score; equal scores by smaller vec_id.
 
-    Both sides are (vec_id, v array<long>), ids distinct. Vectors of another length than the
-    query's are no candidates. Fewer candidates give fewer rows, none give no rows."""
+    Both sides are (row, vec_id, v array<long>); a query is the candidate of the same ``row``, and rows that repeat a vec_id are
+    queries and candidates of their own. Vectors of another length than the query's are no candidates. Inner products must
+    fit a long. Fewer candidates give fewer rows, none give no rows."""
     cells = max(1, -(-candidates.count() // cell_rows))
     chunks = max(1, -(-queries.count() // chunk_rows))
     left = candidates.select(
-        "vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+        "row", "vec_id", "v", F.size("v").alias("dims"), F.pmod(F.xxhash64("row"), F.lit(cells)).cast("int").alias("cell"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
     )
     right = queries.select(
-        "vec_id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk")
+        "row", "vec_id", "v", F.size("v").alias("dims"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int").alias("chunk")
     )
 
     def searched(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        names = ["query_row", "query_id", "row", "vec_id", "score"]
         if not len(block) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        lists = SortedLists(block["vec_id"].to_numpy(), np.array(block["v"].tolist(), np.int64).reshape(len(block), -1))
-        ids = asked["vec_id"].to_numpy()
+            return pd.DataFrame({name: [] for name in names}).astype("int64")
+        lists = SortedLists(block["row"].to_numpy(), block["vec_id"].to_numpy(), np.array(block["v"].tolist(), np.int64).reshape(len(block), -1))
         found = []
-        values = np.array(asked["v"].tolist(), np.int64).reshape(len(asked), -1)
-        for i in range(0, len(ids), 256):
-            row, vec, score = lists.best(ids[i : i + 256], values[i : i + 256], k)
-            found.append((ids[i : i + 256][row], vec, score))
-        query, vec, score = (np.concatenate(part) for part in zip(*found, strict=True))
-        return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})
+        for row, number, query in zip(asked["row"], asked["vec_id"], asked["v"], strict=True):
+            at, score = lists.best(row, np.asarray(query, np.int64), k)
+            found.append(np.stack((np.full(len(at), row), np.full(len(at), number), lists.rows[at], lists.ids[at], score)))
+        return pd.DataFrame(np.concatenate(found, axis=1).T, columns=names)
 
     keys = ["dims", "cell", "chunk"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(searched, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    schema = "query_row long, query_id long, row long, vec_id long, score long"
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(searched, schema)
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
