@@ -17,6 +17,18 @@ WINDOW_BYTES = 1 << 21  # working arrays are made for about this many bytes at a
 BATCH_BYTES = 4 << 20  # of texts that travel to a Python worker at a time, unless the session says otherwise
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Names for working columns that no column of the caller has, whatever its case."""
+    held = {name.lower() for name in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, in a session that bounds the bytes of an Arrow batch: ten thousand long texts are no small batch."""
     conf = df.sparkSession.conf

@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.session import materialize
+from inkwell.llm._text import free_names
+from inkwell.session import working_tables
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PART_ROWS = 400_000  # digests that one index part is sized for
@@ -153,6 +154,11 @@ def _entries(index: CuckooIndex) -> pa.RecordBatch:
     )
 
 
+def largest(*ids: int | None) -> int | None:
+    """A NULL id is smaller than any other."""
+    return max((x for x in ids if x is not None), default=None)
+
+
 def _indexed(batches: Iterator[pa.RecordBatch], flush: int | None) -> Iterator[pa.RecordBatch]:
     """Entries (digest, keep_id, group_size) merged in one index: of copies the largest id is live."""
     index = CuckooIndex()
@@ -163,8 +169,7 @@ def _indexed(batches: Iterator[pa.RecordBatch], flush: int | None) -> Iterator[p
                 index.insert(digest, (number, size))
             else:  # of equal texts one stays live: the earlier digest goes, the entry comes with the larger id
                 index.delete(digest)
-                ids = [x for x in (live[0], number) if x is not None]
-                index.insert(digest, (max(ids, default=None), live[1] + size))
+                index.insert(digest, (largest(live[0], number), live[1] + size))
         if flush and len(index) >= flush:
             yield _entries(index)
             index = CuckooIndex()
@@ -184,7 +189,7 @@ def build_index(keyed: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
 
 
 def apply_changes(index: DataFrame, inserts: DataFrame, deletes: DataFrame, parts: int) -> DataFrame:
-    """The index after ``deletes`` and then ``inserts``, both (doc_id, digest).
+    """The index after ``deletes`` and then ``inserts``, both (doc_id, digest). NULL ids are smaller than any other.
 
     Deleting a digest removes it whatever document brought it; one that is not live is ignored.
     Parts are loaded from their stored keys, so the index is a plain table between batches."""
@@ -204,7 +209,7 @@ def apply_changes(index: DataFrame, inserts: DataFrame, deletes: DataFrame, part
                     live.delete(digest)
                     continue
                 held = live.delete(digest)
-                live.insert(digest, (number, size) if held is None else (max(held[0], number), held[1] + size))
+                live.insert(digest, (number, size) if held is None else (largest(held[0], number), held[1] + size))
         if len(live):
             yield _entries(live)
 
@@ -218,7 +223,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     table gives no rows; texts of any length are hashed whole; other columns are not read.
     Rows that repeat an id with the same text count as copies, and all of them are kept if it is the largest.
     A NULL id is smaller than any other; where all are NULL, all rows are kept."""
-    keyed = materialize(digests(docs, id_col, text_col), "digests")
+    with working_tables(docs.sparkSession) as work:
+        keyed = work.keep(digests(docs, id_col, text_col), "digests")
     live = build_index(keyed)
     # Both sides are laid out by digest as the join asks, so that runtime re-planning can split a hot group.
     return keyed.join(live, "digest").select(
@@ -231,9 +237,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; of rows alike in id and text one stays."""
-    stays = dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_stay_id"), F.unhex("text_sha256").alias("_stay_digest")).distinct()
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.withColumn("_kept_id", F.col(id_col).cast("long")).withColumn("_digest", F.unhex(F.sha2(lower_ascii(text), 256)))
-    same = F.col("_kept_id").eqNullSafe(F.col("_stay_id")) & (F.col("_digest") == F.col("_stay_digest"))
-    return rows.join(stays, same, "left_semi").dropDuplicates(["_kept_id", "_digest"]).select(*docs.columns)
+    """The documents that stay, with all their columns, whatever their names; of rows alike in id and text one stays."""
+    names = docs.columns
+    id_, digest, times = free_names(names, "id", "digest", "times")
+    with working_tables(docs.sparkSession) as work:
+        stays = dedup(docs, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
+        stays = work.keep(stays.select(F.col("doc_id").alias(id_), F.unhex("text_sha256").alias(digest), F.col("times").alias(times)), "stays")
+        repeated = not stays.where(F.col(times) > 1).isEmpty()
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (F.unhex(F.sha2(lower_ascii(text), 256)) == F.col(digest))
+    once = docs.join(stays.where(F.col(times) == 1), mine, "left_semi")
+    if not repeated:
+        return once
+    again = docs.join(stays.where(F.col(times) > 1), mine)  # only rows that repeat an id travel twice
+    return once.unionByName(again.dropDuplicates([id_, digest]).select(*(F.col(f"`{n}`") for n in names)))

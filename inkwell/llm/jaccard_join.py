@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm._components import components, flattened
-from inkwell.llm._text import PRIME, ascii_space, folded_codes, mix, runs, small_batches, span_hashes, text_bytes, windows
-from inkwell.session import materialize
+from inkwell.llm._text import PRIME, ascii_space, folded_codes, free_names, mix, runs, small_batches, span_hashes, text_bytes, windows
+from inkwell.session import materialize, working_tables
 
 FOLDED, SPACE = folded_codes(), ascii_space()
 SPARE = 1.25  # segments per segment that must agree
@@ -76,9 +76,10 @@ def shingles(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarr
     word = span_hashes(data, starts, ends, FOLDED)
     count = np.bincount(row, minlength=n)
     with np.errstate(over="ignore"):
-        value = np.zeros(max(0, len(word) - words + 1), np.uint64)
+        many = max(0, len(word) - words + 1)
+        value = np.zeros(many, np.uint64)
         for i in range(words):
-            value = mix(value * PRIME + word[i : len(word) - words + 1 + i])
+            value = mix(value * PRIME + word[i : i + many])
         whole = row[words - 1 :] == row[: len(value)] if len(value) else np.zeros(0, bool)
         value, owner = value[whole], row[: len(value)][whole]
         short = np.flatnonzero((count > 0) & (count < words))
@@ -205,11 +206,13 @@ class Join:
 
     def __init__(self, docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str):
         self.spark = docs.sparkSession
-        self.docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        text = F.col(text_col)
+        self.docs = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
         self.words, self.num, self.den, self.bands = words, num, den, Bands(num, den)
 
     def described(self) -> DataFrame:
-        """doc_id, n_shingles and class of every document (NULL without shingles)."""
+        """doc_id, mark (a hash of the text, by which rows with NULL or repeated ids are told apart), n_shingles and class
+        of every document (NULL without shingles)."""
         words = self.words
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,9 +221,10 @@ class Join:
                 for i, j in windows(bounds):
                     tokens, counts = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
                     cls = pa.array(classes_of(tokens, counts), mask=counts == 0)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), cls], ["doc_id", "n_shingles", "cls"])
+                    columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(counts, pa.int64()), cls]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "mark", "n_shingles", "cls"])
 
-        return self.docs.mapInArrow(describe, "doc_id long, n_shingles long, cls long")
+        return self.docs.mapInArrow(describe, "doc_id long, mark long, n_shingles long, cls long")
 
     def signed(self) -> DataFrame:
         """Index rows of every set; a class met again by the same task is not signed again."""
@@ -254,7 +258,8 @@ class Join:
     def sets(self, of: DataFrame, described: DataFrame) -> DataFrame:
         """cls, its shingles (ascending, packed), their number and sketch, for the classes in ``of``, from one document of each."""
         words = self.words
-        wanted = described.join(of, "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.col("cls").alias("_cls"))
+        wanted = described.join(of, "cls").groupBy("cls").agg(F.min(first_row()).alias("_first"))
+        wanted = wanted.select(F.col("_first.doc_id").alias("_id"), F.col("_first.mark").alias("_mark"), F.col("cls").alias("_cls"))
         if of.count() <= BROADCAST_ROWS:
             wanted = F.broadcast(wanted)
 
@@ -266,12 +271,12 @@ class Join:
                     tokens, counts = shingles(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], words)
                     cls, lanes = classes_of(tokens, counts), sketches(tokens, counts)
                     stops = np.cumsum(counts)
-                    right = np.flatnonzero(cls == asked[i:j])  # rows that share an id may hold other texts
+                    right = np.flatnonzero(cls == asked[i:j])  # another text may have the same mark
                     packed_tokens = pa.array([tokens[a:b].tobytes() for a, b in zip((stops - counts)[right], stops[right], strict=True)], pa.binary())
                     columns = [pa.array(cls[right]), packed_tokens, pa.array(counts[right]), *(pa.array(np.ascontiguousarray(lanes[right, k])) for k in range(len(LANES)))]
                     yield pa.RecordBatch.from_arrays(columns, ["cls", "tokens", "n", *LANES])
 
-        rows = self.docs.join(wanted, "doc_id").select("_cls", "text")
+        rows = self.docs.join(wanted, (F.col("mark") == F.col("_mark")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("_cls", "text")
         return rows.mapInArrow(packed, "cls long, tokens binary, n long, " + ", ".join(f"{c} long" for c in LANES)).dropDuplicates(["cls"])
 
     def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -292,6 +297,11 @@ class Join:
         return both.select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
+def first_row() -> Column:
+    """Rows in ascending order of id, NULL ids last."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
+
+
 def narrowed(rows: DataFrame, label: str) -> DataFrame:
     """Rows whose key holds more than one ``label``, of sets that still share as many as they need."""
     spread = rows.groupBy("key").agg(F.min(label).alias("_low"), F.max(label).alias("_high"), F.count("*").alias("held")).where("_low <> _high")
@@ -305,7 +315,39 @@ def join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: st
 
     Documents link when intersection / union of their shingle sets is at least ``num / den``. NULL texts
     and texts without words have no shingles and link with nothing, not even with each other. Rows that repeat a
-    doc_id are sets of their own. An empty table gives no rows. Texts are read whole, other columns are not."""
+    doc_id, or whose doc_id is NULL, are sets of their own: they link, and others link through them. A component's id
+    passes over NULL ids; it is NULL where all of its ids are. An empty table gives no rows. Texts are read whole, other columns
+    are not."""
+    with working_tables(docs.sparkSession) as work:
+        return work.keep(linked(docs, words, num, den, id_col, text_col).select("doc_id", "n_shingles", "component_id"), "joined")
+
+
+def representatives(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: the one with the smallest id, NULL ids last.
+
+    Rows alike in id and text stand for one another: one of them stays. Documents without shingles stay, as they
+    link with nothing, and so do their copies."""
+    names = docs.columns
+    id_, mark, times = free_names(names, "id", "mark", "times")
+    with working_tables(docs.sparkSession) as work:
+        rows = materialize(linked(docs, words, num, den, id_col, text_col), "linked")
+        first = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(first_row()).alias("_first")).select("_first.doc_id", "_first.mark")
+        same = rows.where("root IS NOT NULL").groupBy("doc_id", "mark").agg(F.count("*").alias("times"))
+        stays = first.join(same, (first["mark"] == same["mark"]) & first["doc_id"].eqNullSafe(same["doc_id"])).select(first["doc_id"].alias(id_), first["mark"].alias(mark), F.col("times").alias(times))
+        bare = rows.where("root IS NULL").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark), F.lit(1).cast("long").alias(times)).distinct()
+        stays = work.keep(stays.unionByName(bare).distinct(), "stays")
+        repeated = not stays.where(F.col(times) > 1).isEmpty()
+    mine = (F.xxhash64(F.col(f"`{text_col}`")) == F.col(mark)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_))
+    once = docs.join(stays.where(F.col(times) == 1), mine, "left_semi")
+    if not repeated:
+        return once
+    again = docs.join(stays.where(F.col(times) > 1), mine)  # the few that repeat meet by id and mark
+    again = again.dropDuplicates([id_, mark]).select(*(F.col(f"`{n}`") for n in names))
+    return once.unionByName(again)
+
+
+def linked(docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+    """Per document: doc_id, mark, n_shingles, root (its component's class; NULL without shingles), component_id."""
     run = Join(docs, words, num, den, id_col, text_col)
     described = materialize(run.described(), "described")
     tokens = described.agg(F.sum("n_shingles")).first()[0] or 0
@@ -339,8 +381,9 @@ def join(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, id_col: st
     whole = components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found))
 
     held = described.where("cls IS NOT NULL").join(whole, described["cls"] == whole["node"], "left")
-    held = held.select("doc_id", "n_shingles", F.coalesce("root", "cls").alias("root"))
-    first = held.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = held.join(first, "root").select("doc_id", "n_shingles", "component_id")
-    alone = described.where("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    held = materialize(held.select("doc_id", "mark", "n_shingles", F.coalesce("root", "cls").alias("root")), "held")
+    # Written down by itself, so that the join deals out both sides anew and runtime re-planning can split a large component.
+    first = materialize(held.groupBy("root").agg(F.min("doc_id").alias("component_id")), "first")
+    joined = held.join(first, "root").select("doc_id", "mark", "n_shingles", "root", "component_id")
+    alone = described.where("cls IS NULL").select("doc_id", "mark", "n_shingles", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return joined.unionByName(alone)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm._text import small_batches, text_bytes, windows
+from inkwell.llm._text import free_names, small_batches, text_bytes, windows
 
 BINS = 2048
 TRAINING_ROWS = 6000  # labelled texts that a model is fitted on, shared evenly by the languages
@@ -122,16 +122,16 @@ def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
     return best, score, ambiguous
 
 
-def _has_letter() -> Column:
-    return F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+def _has_letter(text_col: str = "text") -> Column:
+    return F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
 
 
-def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS, id_col: str = "doc_id") -> Model:
+def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from at most ``training_rows`` documents with a language and a letter, drawn by a hash of their ids.
 
     Every language gets an equal share of the rows. Ids are drawn first; only the texts drawn are
     then fetched, whole. Of rows that repeat an id one is used; rows without an id are not."""
-    usable = docs.where(F.col("lang").isNotNull() & _has_letter()).select("lang", "text", F.col(id_col).cast("long").alias("_id"))
+    usable = docs.where(F.col(lang_col).isNotNull() & _has_letter(text_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("_id"))
     languages = sorted(r["lang"] for r in usable.select("lang").distinct().collect())  # as many rows as languages
     if not languages:
         return Model([], np.ones((0, 1)), np.zeros((BINS + 1, 1), np.float32), np.ones((0, 1)))
@@ -196,5 +196,5 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
                     keep[i:j] &= ~ambiguous
             yield batch.select(range(len(names))).filter(pa.array(keep))
 
-    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_has_letter")
+    letters = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(free_names(names, "letters")[0])
     return small_batches(docs).select(*names, letters).mapInArrow(filtered, docs.schema)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm import exact_dedup, exact_topk, jaccard_join, language_id, lexical_search, license_scan, packing, pii, quality, quotation_linking, sentencepiece_codec, spelling_variants, url_filter
+from inkwell.session import materialize
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
@@ -22,7 +23,7 @@ def held_out() -> Column:
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = exact_topk.integers(table(spark, sf_dir, "embeddings"))
+    vectors = materialize(exact_topk.integers(table(spark, sf_dir, "embeddings")), "vectors")
     return exact_topk.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors, k=20)
 
 

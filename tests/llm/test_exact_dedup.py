@@ -1,8 +1,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from inkwell.llm import language_id
 from inkwell.llm.exact_dedup import CuckooIndex, apply_changes, build_index, dedup, digests, kept
+from inkwell.llm.jaccard_join import representatives
 
 ROWS = [(1, "Ab"), (2, "aB"), (3, "É"), (4, "é"), (5, None), (6, ""), (7, "x" * 200_000), (8, "x" * 200_000), (9, "ab "), (9, "zz"), (9, "zz")]
 
@@ -50,6 +53,22 @@ def test_changes_keep_the_index_live(frame):
     assert sorted((r.keep_id, r.group_size) for r in changed.collect()) == [(5, 2), (6, 1), (7, 1)]
 
 
+def test_changes_without_ids(frame):
+    index = build_index(digests(frame([(None, "a"), (None, "b"), (3, "c")])))
+    changed = apply_changes(index, digests(frame([(5, "a"), (None, "b"), (None, "c")])), digests(frame([(None, "nowhere")])), 2)
+    assert sorted((r.keep_id or 0, r.group_size) for r in changed.collect()) == [(0, 2), (3, 2), (5, 2)]
+
+
+def test_columns_of_any_name_come_back_as_they_were(spark):
+    names = ["_kept_id", "_digest", "_stay_id", "_stay_digest", "id", "digest", "times", "Times_", "mark", "_has_letter", "letters", "text_sha256", "kept"]
+    docs = spark.createDataFrame([(1, "hello there all", "en"), (2, "Hello there all", "en"), (2, "hello there all", "en")], "doc_id long, text string, lang string")
+    docs = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    for made in (kept(docs), language_id.accepted(docs, language_id.fit(docs)), representatives(docs)):
+        rows = made.collect()
+        assert made.columns == docs.columns and rows and all(r[n] == n for r in rows for n in names)
+    assert sorted(r.doc_id for r in kept(docs).collect()) == [2] and representatives(docs).count() == 1
+
+
 @pytest.mark.parametrize("part_rows", [1, 100])
 def test_number_of_parts_changes_nothing(frame, part_rows):
     rows = [(i, f"t{i % 7}") for i in range(40)]

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from inkwell.llm.jaccard_join import Bands, components, join
+from inkwell.llm.jaccard_join import Bands, components, join, representatives
 from inkwell.llm.queries import QUERIES
 
 
@@ -77,6 +77,44 @@ def test_repeated_ids_and_no_rows(frame):
     assert join(frame([]), 4, 85, 100).count() == 0
 
 
+def test_rows_without_an_id_link_and_are_linked_through(frame):
+    chain = [" ".join(f"w{j}" for j in range(i, i + 40)) for i in (0, 2, 4)]
+    rows = join(frame([(None, chain[1]), (1, chain[0]), (2, chain[2]), (None, "all alone in this corner of it"), (None, "all alone in this corner of it"), (None, None)]), 4, 85, 100).collect()
+    key = lambda r: (r is None, r)
+    assert sorted(((r.doc_id, r.component_id) for r in rows), key=lambda p: (key(p[0]), key(p[1]))) == [(1, 1), (2, 1), (None, 1), (None, None), (None, None), (None, None)]
+    assert [r.n_shingles for r in rows if r.component_id is None and r.n_shingles] == [4, 4]
+
+
+def test_missing_and_repeated_ids_against_brute_force(frame):
+    rng, texts = random.Random(8), []
+    for group in range(6):
+        base = [f"g{group}w{i}" for i in range(40)]
+        for _ in range(8):
+            copy = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                copy[rng.randrange(40)] = f"x{rng.randrange(5)}"
+            texts.append((rng.choice([None, 1, 2, 3, *range(10, 60)]), " ".join(copy)))
+    numbered = [(i, t) for i, (_, t) in enumerate(texts)]
+    linked = brute(numbered, 4, 4, 5)
+    least = {}
+    for i, (doc, _) in enumerate(texts):
+        root = linked[i][1]
+        least[root] = min([x for x in (least.get(root), doc) if x is not None], default=None)
+    expected = sorted((str(doc), linked[i][0], str(least[linked[i][1]])) for i, (doc, _) in enumerate(texts))
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in join(frame(texts), 4, 4, 5).collect()) == expected
+    stays = representatives(frame(texts), 4, 4, 5)
+    roots = {t: linked[i][1] for i, (_, t) in enumerate(texts)}
+    got = [(roots[r.text], r.doc_id) for r in stays.collect()]
+    assert stays.columns == frame(texts).columns and sorted(map(str, got)) == sorted(str((root, doc)) for root, doc in least.items())
+
+
+def test_one_row_of_each_component_stays(frame):
+    a, b = " ".join("abcdefghij"), " ".join("qrstuvwxyz")
+    for rows, left in (([(1, a), (2, b), (2, a)], [(1, a), (2, b)]), ([(None, a), (None, a), (None, a), (7, a)], [(7, a)]), ([(None, a), (None, a), (3, None), (3, None), (4, "")], [(3, None), (3, None), (4, ""), (None, a)])):
+        assert sorted(((r.doc_id, r.text) for r in representatives(frame(rows)).collect()), key=str) == sorted(left, key=str)
+    assert representatives(frame([])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
