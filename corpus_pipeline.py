@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell.llm import exact_dedup, jaccard_join, language_id, packing, pii
 from inkwell.llm.queries import BYTE_BPE
-from inkwell.session import scratch_path
+from inkwell.session import materialize, working_tables
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +25,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every component of similar texts (five words, 0.8) the document with the smallest id stays."""
-    found = jaccard_join.join(docs, words=5, num=4, den=5)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    rest = found.where("doc_id IS NULL").limit(1).count()
-    stays = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    return stays.unionByName(docs.where("doc_id IS NULL")) if rest else stays
+    return jaccard_join.representatives(docs, words=5, num=4, den=5)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +51,8 @@ ORACLE_SQL = None  # language models, fields and tokenizers are beyond SQL; test
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+    with working_tables(spark) as work:
+        for name, stage in STAGES:
+            before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            work.drop(before)  # a stage's input goes when its output is written
+        return work.keep(docs)
