@@ -330,4 +330,20 @@ pairs AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY round(distance, 9), id2) AS rank FROM pairs)
 SELECT id1, id2, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS similarity, rank::INTEGER AS rank
 FROM ranked WHERE rank <= 5"""
+    vowels = ", ".join(f"length(l) - length(replace(l, '{c}', '')) + 1.0::DOUBLE" for c in "aeiou")
+    letters = f"[{vowels}, length(translate(l, 'aeiou', '')) + 1.0::DOUBLE]"
+    lower = "translate(text, 'AEIOU', 'aeiou')"
+    shares = f"""
+WITH q AS MATERIALIZED (SELECT id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM (
+  SELECT id, {letters} AS v FROM (SELECT conv_id * 100000 + turn AS id, {lower} AS l FROM conversations WHERE text IS NOT NULL))),
+c AS MATERIALIZED (SELECT id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM (
+  SELECT id, {letters} AS v FROM (SELECT doc_id AS id, {lower} AS l FROM documents WHERE text IS NOT NULL))),"""
+    for name, column, distance in (
+        ("kl", "kl", "greatest(list_sum(list_transform(list_zip(q.p, c.p), lambda z: z[1] * ln(z[1] / z[2]))), 0.0)"),
+        ("euclid", "distance", "sqrt(list_sum(list_transform(list_zip(q.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))"),
+    ):
+        sql[f"doc_similarity_index_{name}"] = f"""{shares}
+pairs AS (SELECT q.id AS id1, c.id AS id2, {distance} AS d FROM q, c),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY round(d, 9), id2) AS rank FROM pairs)
+SELECT id1, id2, round(d, 6) AS {column}, rank::INTEGER AS rank FROM ranked WHERE rank <= 5"""
     return sql

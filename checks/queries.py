@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import han, text, vectors
 from inkwell.functions.stopwords import default_stop_words
 from inkwell.operators import aggregates, features, graph, similarity, tokens, topics
+from inkwell.operators.metric_index import MetricIndex
 from inkwell.operators.rows import exploded, exploded_structs
 from inkwell.plans import clustering, corpora, summaries, topic_modelling
 from inkwell.plans.similarity import nearest_documents
@@ -362,6 +363,37 @@ def doc_similarity_euclid_top5(spark, sf_dir):
     )
 
 
+def vowel_counts(text):
+    """How often each vowel and anything else stands in a text, and once more, as a distribution to be scaled."""
+    lower = F.translate(text, "AEIOU", "aeiou")
+    vowels = F.transform(F.array(*(F.lit(c) for c in "aeiou")), lambda c: F.length(lower) - F.length(F.replace(lower, c, F.lit(""))) + 1)
+    rest = F.length(F.translate(lower, "aeiou", "")) + 1
+    return F.transform(F.concat(vowels, F.array(rest)), lambda n: n.cast("double"))
+
+
+def _turns_and_documents(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    turns = turns.select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), vowel_counts(F.col("text")).alias("topic_distribution"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", vowel_counts(F.col("text")).alias("topic_distribution"))
+    return materialize(turns, "turns"), materialize(docs, "documents")
+
+
+def doc_similarity_index_kl(spark, sf_dir):
+    """Every turn's nearest documents by the divergence of their vowels, from a stored index of the documents."""
+    turns, docs = _turns_and_documents(spark, sf_dir)
+    path = scratch_path(spark, "index")
+    MetricIndex.build(docs, path, "kl")
+    found = MetricIndex(spark, path).search(turns, 5)
+    return found.select("id1", "id2", F.round("distance", 6).alias("kl"), "rank")
+
+
+def doc_similarity_index_euclid(spark, sf_dir):
+    """The same by the distance of their shares of vowels."""
+    turns, docs = (df.withColumn("topic_distribution", vectors.normalize(F.col("topic_distribution"))) for df in _turns_and_documents(spark, sf_dir))
+    found = MetricIndex.build(docs, scratch_path(spark, "index"), "euclid").search(turns, 5)
+    return found.select("id1", "id2", F.round("distance", 6).alias("distance"), "rank")
+
+
 # Topics
 
 
@@ -451,7 +483,7 @@ ALL = [
     word_vectors, list_concat_by_key,
     sentence_graph_edges, textrank_scores, textrank_summary, textrank_custom_similarity, token_window_pairs,
     word_vertices, word_graph_edges, keyword_rank, corpus_keyword_rank,
-    topic_argmax, doc_similarity_kl_top5, doc_similarity_euclid_top5,
+    topic_argmax, doc_similarity_kl_top5, doc_similarity_euclid_top5, doc_similarity_index_kl, doc_similarity_index_euclid,
     lda_topics, topics_count_idf, topics_hashing_idf, topic_distribution, topics_parquet_roundtrip, model_roundtrip,
     sentence_clusters, sentence_clusters_whole, digest_clusters, topic_word_clusters,
 ]
