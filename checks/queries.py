@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import han, text, vectors
 from inkwell.functions.stopwords import default_stop_words
-from inkwell.operators import aggregates, features, graph, similarity, tokens, topics
+from inkwell.operators import aggregates, features, graph, sharded_topics, similarity, tokens, topics
 from inkwell.operators.metric_index import MetricIndex
 from inkwell.operators.rows import exploded, exploded_structs
 from inkwell.plans import clustering, corpora, summaries, topic_modelling
@@ -436,6 +436,55 @@ def topic_distribution(spark, sf_dir):
     return corpus.union_corpora(labelled)
 
 
+def _sharded(spark, sf_dir, **options):
+    training = materialize(_training(spark, sf_dir).select("doc_id", "tokens"), "training")
+    return training, sharded_topics.fitted(training, **{"k": 10, "rounds": 5, **options})
+
+
+def sharded_topic_words(spark, sf_dir):
+    """Every term of a trained model with what its topics hold of it, which together is its number of occurrences."""
+    _, model = _sharded(spark, sf_dir)
+    held = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w - model.eta)
+    return model.topics.select("term", F.round(held, 4).alias("held"))
+
+
+def sharded_topic_idf_words(spark, sf_dir):
+    """The same, trained on counts times inverse document frequency."""
+    _, model = _sharded(spark, sf_dir, weighting="tfidf")
+    held = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w - model.eta)
+    return model.topics.select("term", F.round(held, 3).alias("held"))
+
+
+def sharded_topic_shape(spark, sf_dir):
+    """Per topic: its number of described terms, whether their weights fall, and whether it is a distribution over all terms."""
+    _, model = _sharded(spark, sf_dir)
+    described = model.describe(15).withColumn("falls", F.coalesce(F.lag("weight").over(Window.partitionBy("topic").orderBy("pos")) >= F.col("weight"), F.lit(True)))
+    whole = model.topics.select(F.posexplode("weights").alias("topic", "w")).groupBy("topic").agg(F.round(F.sum("w") / F.sum("w"), 6).alias("share"), F.min("w").alias("least"))
+    shape = described.groupBy("topic").agg(F.count("*").alias("terms"), F.min("falls").alias("falls"), F.sum("weight").alias("top"))
+    return shape.join(whole, "topic").select("topic", "terms", "falls", ((F.col("top") > 0) & (F.col("top") <= 1) & (F.col("least") >= model.eta)).alias("shares"))
+
+
+def sharded_topic_labels(spark, sf_dir):
+    """Train on the documents, label turns and pages: known tokens, whether shares add up, whether the label is the largest share."""
+    _, model = _sharded(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations").select(F.format_string("turn %d %d", "conv_id", "turn").alias("doc_id"), F.col("text").alias("content"))
+    pages = table(spark, sf_dir, "pages").select(F.format_string("page %d", "page_id").alias("doc_id"), F.col("html").alias("content"))
+    both = tokens.tokenize(turns.unionByName(pages), stop_words=STOP_WORDS, **TOKENS)
+    labelled = model.assign(both)
+    total = F.round(F.aggregate("topic_distribution", F.lit(0.0), lambda a, x: a + x), 6)
+    first = F.col("topic_num").eqNullSafe(vectors.argmax(F.col("topic_distribution")))
+    return labelled.select("doc_id", "n_known", total.alias("total"), first.alias("first"))
+
+
+def topics_label_compare(spark, sf_dir):
+    """One job: train on the documents, label turns and benchmark items, and find every item's nearest turns by their topics."""
+    training, model = _sharded(spark, sf_dir)
+    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), F.col("text").alias("content"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("content"))
+    found = topic_modelling.label_and_compare(model, *(tokens.tokenize(d, stop_words=STOP_WORDS, **TOKENS) for d in (items, turns)), path=scratch_path(spark, "index"))
+    return found.select("id1", "id2", F.round("distance", 6).alias("kl"), "rank")
+
+
 def topics_parquet_roundtrip(spark, sf_dir):
     _, described = topic_modelling.count_topics(_training(spark, sf_dir), optimizer="online")
     path = scratch_path(spark, "topics")
@@ -485,6 +534,7 @@ ALL = [
     word_vertices, word_graph_edges, keyword_rank, corpus_keyword_rank,
     topic_argmax, doc_similarity_kl_top5, doc_similarity_euclid_top5, doc_similarity_index_kl, doc_similarity_index_euclid,
     lda_topics, topics_count_idf, topics_hashing_idf, topic_distribution, topics_parquet_roundtrip, model_roundtrip,
+    sharded_topic_words, sharded_topic_idf_words, sharded_topic_shape, sharded_topic_labels, topics_label_compare,
     sentence_clusters, sentence_clusters_whole, digest_clusters, topic_word_clusters,
 ]
 
