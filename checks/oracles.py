@@ -364,4 +364,9 @@ listed AS (SELECT doc_id, row_number() OVER () AS r, {others} AS tokens FROM bot
 known AS (SELECT r, count(*) AS n FROM (SELECT r, unnest(tokens) AS term FROM listed) JOIN df USING (term) GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_known, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS total, true AS first
 FROM listed LEFT JOIN known USING (r)"""
+    latin, chars = "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
+    runs = r"[\x{4E00}-\x{9FA5}]+|[A-Za-z0-9]+(?:\.[0-9]+)?%?"
+    sql["han_cover"] = f"""
+WITH t AS (SELECT doc_id, regexp_replace(translate(lower(text), '{latin}', '{chars}'), '{SPACE}+', '', 'g') AS c FROM documents)
+SELECT doc_id, md5(array_to_string(coalesce(regexp_extract_all(c, '{runs}'), []), '')) AS spelled FROM t"""
     return sql

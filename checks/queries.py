@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.functions import han, text, vectors
+from inkwell.functions import text, vectors
 from inkwell.functions.stopwords import default_stop_words
-from inkwell.operators import aggregates, features, graph, sharded_topics, similarity, tokens, topics
+from inkwell.operators import aggregates, features, graph, han_words, sharded_topics, similarity, tokens, topics
 from inkwell.operators.metric_index import MetricIndex
 from inkwell.operators.rows import exploded, exploded_structs
 from inkwell.plans import clustering, corpora, summaries, topic_modelling
@@ -216,19 +216,31 @@ def parse_keyword_line(spark, sf_dir):
 
 
 def _han_corpus(spark, sf_dir):
-    """Documents with their letters mapped to Han characters, and the lexicon of their frequent words."""
+    """Documents with their letters mapped to Han characters and without whitespace, and all their words as the lexicon."""
     latin, chars = "abcdefghijklmnopqrstuvwxyz", "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏闰余"
     to_han = lambda c: F.translate(F.lower(c), latin, chars)
     docs = documents(spark, sf_dir)
-    frequent = features.document_frequency(tokens.tokenize(docs, lower=True)).where("df >= 20")
-    lexicon = frequent.select(to_han(F.col("term")).alias("word"), F.lit("n").alias("tag"))
-    return docs.select("doc_id", to_han(F.col("content")).alias("content")), lexicon
+    words = features.term_frequency(tokens.tokenize(docs, lower=True)).groupBy("term").agg(F.sum("tf").alias("n"))
+    lexicon = words.select(to_han(F.col("term")).alias("word"), F.lit("n").alias("tag"), F.col("n").cast("double").alias("weight"))
+    content = text.clean_document(to_han(F.col("content")), "all")
+    return docs.select("doc_id", content.alias("content")), lexicon
 
 
 def han_tokens(spark, sf_dir):
+    """Documents cut under the lexicon of all their words, along the most probable paths."""
     docs, lexicon = _han_corpus(spark, sf_dir)
-    segmented = tokens.tokenize(docs, segment=han.segmenter(lexicon), space="all")
-    return segmented.select("doc_id", joined("tokens").alias("tokens"), F.size("tokens").alias("n_tokens"))
+    words = F.transform("pieces", lambda piece: piece["word"])
+    kept = F.filter(words, lambda word: text.keep_token(word, [], "reference"))
+    return han_words.segment(docs, lexicon).select("doc_id", joined(kept).alias("tokens"), F.size(kept).alias("n_tokens"))
+
+
+def han_cover(spark, sf_dir):
+    """What the pieces of every document spell when no stretch is unknown: its word runs, end to end, as a checksum."""
+    docs, lexicon = _han_corpus(spark, sf_dir)
+    single = lexicon.select(F.explode(F.split("word", "")).alias("word")).where("word <> ''").distinct().select("word", F.lit("c").alias("tag"), F.lit(1.0).alias("weight"))
+    words = F.transform(F.col("pieces"), lambda piece: piece["word"])
+    cut = han_words.segment(docs, lexicon.unionByName(single))
+    return cut.select("doc_id", F.md5(F.array_join(words, "")).alias("spelled"))
 
 
 # Features
@@ -527,7 +539,7 @@ ALL = [
     corpus_scan, corpus_projected_limit, corpus_nonempty, corpus_remap, corpus_union, corpus_clean,
     corpus_distinct_with_id, stopwords_table, text_lines_scan, vector_csv_roundtrip, decode_text,
     tokenize, token_filter, tokens_stopword_anti, tokens_tag_filter, strip_whitespace, extract_titles,
-    drop_doc_numbers, sentence_split, sentence_words, parse_keyword_line, han_tokens,
+    drop_doc_numbers, sentence_split, sentence_words, parse_keyword_line, han_tokens, han_cover,
     term_frequency, document_frequency, tfidf, count_vectors, idf_vectors, hashing_tf, hashing_tf_totals,
     word_vectors, list_concat_by_key,
     sentence_graph_edges, textrank_scores, textrank_summary, textrank_custom_similarity, token_window_pairs,
