@@ -82,23 +82,31 @@ shared AS (
 LOG_WEIGHT = "CASE WHEN ln(n_a) + ln(n_b) < 1e-12 THEN 0.0 ELSE shared / (ln(n_a) + ln(n_b)) END"
 
 
-def _pagerank(nodes: str, links: str, rounds: int = 100, tol: str = "1e-6") -> str:
+def _pagerank(
+    nodes: str, links: str, rounds: int = 100, tol: str = "1e-6", teleport: str = "1.0", dangling: str = "1.0", start: str = "1.0"
+) -> str:
     """CTE ``scores(graph, node, score)``: a graph stops after ``rounds``, or when it moves by less than ``tol`` per node."""
     return f"""
-nodes AS MATERIALIZED (SELECT graph, node, count(*) OVER (PARTITION BY graph) AS n FROM ({nodes})),
+nodes AS MATERIALIZED (
+  SELECT graph, node, count(*) OVER (PARTITION BY graph) AS n,
+         ({teleport})::DOUBLE / sum(({teleport})::DOUBLE) OVER (PARTITION BY graph) AS lands,
+         ({dangling})::DOUBLE / sum(({dangling})::DOUBLE) OVER (PARTITION BY graph) AS goes,
+         ({start})::DOUBLE / sum(({start})::DOUBLE) OVER (PARTITION BY graph) AS begins
+  FROM ({nodes})
+),
 links AS MATERIALIZED (
   SELECT graph, src, dst, weight / sum(weight) OVER (PARTITION BY graph, src) AS share FROM ({links})
 ),
 start AS MATERIALIZED (
-  SELECT graph, node, n, NOT EXISTS (SELECT 1 FROM links l WHERE l.graph = nodes.graph AND l.src = node) AS loose
+  SELECT graph, node, n, lands, goes, begins, NOT EXISTS (SELECT 1 FROM links l WHERE l.graph = nodes.graph AND l.src = node) AS loose
   FROM nodes
 ),
 rounds AS (
-  SELECT graph, node, n, loose, 1.0::DOUBLE / n AS score, 0 AS done, false AS finished FROM start
+  SELECT graph, node, n, lands, goes, loose, begins AS score, 0 AS done, false AS finished FROM start
   UNION ALL
-  SELECT graph, node, n, loose, moved, done + 1, sum(abs(moved - score)) OVER (PARTITION BY graph) < n * {tol}
+  SELECT graph, node, n, lands, goes, loose, moved, done + 1, sum(abs(moved - score)) OVER (PARTITION BY graph) < n * {tol}
   FROM (
-    SELECT s.*, 0.85 * (coalesce(g.got, 0.0) + s.loose_mass / s.n) + 0.15 / s.n AS moved
+    SELECT s.*, 0.85 * (coalesce(g.got, 0.0) + s.loose_mass * s.goes) + 0.15 * s.lands AS moved
     FROM (
       SELECT *, sum(CASE WHEN loose THEN score ELSE 0.0 END) OVER (PARTITION BY graph) AS loose_mass
       FROM rounds WHERE done < {rounds} AND NOT finished
@@ -114,12 +122,12 @@ rounds AS (
 scores AS (SELECT graph, node, arg_max(score, done) AS score FROM rounds GROUP BY graph, node)"""
 
 
-def _sentence_scores(weight: str = LOG_WEIGHT, rounds: int = 100, tol: str = "1e-6") -> str:
+def _sentence_scores(weight: str = LOG_WEIGHT, rounds: int = 100, tol: str = "1e-6", **vectors: str) -> str:
     links = f"SELECT * FROM (SELECT doc_id AS graph, src, dst, {weight} AS weight FROM shared) WHERE weight > 0"
     return f"""
 WITH RECURSIVE {WORD_LISTS.strip()},
 {SHARED.strip()},
-{_pagerank("SELECT doc_id AS graph, idx AS node FROM sentence_rows", links, rounds, tol).strip()},
+{_pagerank("SELECT doc_id AS graph, idx AS node, sentence FROM sentence_rows", links, rounds, tol, **vectors).strip()},
 ranked AS (
   SELECT s.doc_id, s.idx, s.sentence, score,
          row_number() OVER (PARTITION BY s.doc_id ORDER BY round(score, 9) DESC, s.idx) AS rank
@@ -275,8 +283,11 @@ joined AS (
 )
 SELECT doc_id, coalesce(html, '') AS html, coalesce(n, 0)::INTEGER AS n_sentences
 FROM documents LEFT JOIN joined USING (doc_id)"""
+    sql["textrank_personal"] = f"""
+{_sentence_scores(teleport="1.0 / (node + 1)", dangling="length(sentence)", start="CASE WHEN node = 0 THEN 1 ELSE 0 END")}
+SELECT doc_id, idx, round(score, 9) AS weight, rank::INTEGER AS rank FROM ranked"""
     sql["textrank_custom_similarity"] = f"""
-{_sentence_scores("shared / (n_a + n_b)", 30, "0")}
+{_sentence_scores("shared / (n_a + n_b)")}
 SELECT doc_id, idx, round(score, 9) AS weight FROM ranked"""
     sql["token_window_pairs"] = f"""
 WITH {WORD_LISTS.strip()}, {WORD_PAIRS.format(source="words_all_filters", window=3).strip()}

@@ -76,12 +76,16 @@ def corpus_remap(spark, sf_dir):
 
 
 def corpus_union(spark, sf_dir):
-    return corpora.transfer(
+    """Two sources in one collection, saved source by source and read back."""
+    path = scratch_path(spark, "collection")
+    corpora.transfer_to(
+        path,
         {
             "documents": (table(spark, sf_dir, "documents"), {"html": "text", "org": "source"}, "doc_id"),
             "pages": (table(spark, sf_dir, "pages"), {"title": "url", "html": "html"}, "page_id"),
-        }
+        },
     )
+    return corpus.read_table(spark, "parquet", path)
 
 
 def corpus_clean(spark, sf_dir):
@@ -306,16 +310,31 @@ def textrank_scores(spark, sf_dir):
 
 
 def textrank_summary(spark, sf_dir):
-    docs = summaries.summaries(documents(spark, sf_dir), **WORDS, **ROUNDS)
+    path = scratch_path(spark, "summaries")
+    corpus.save(summaries.summaries(documents(spark, sf_dir), **WORDS, **ROUNDS), path)
+    docs = corpus.read_table(spark, "parquet", path)
     return docs.select("doc_id", joined("html", "\n").alias("html"), F.size("html").alias("n_sentences"))
 
 
+def textrank_personal(spark, sf_dir):
+    """Sentences ranked with jumps that favour a document's beginning and dangling mass that favours long sentences."""
+    ranked = graph.score_sentences(
+        documents(spark, sf_dir),
+        teleport=lambda sentences: F.transform(sentences, lambda s, i: 1.0 / (i + 1)),
+        dangling=lambda sentences: F.transform(sentences, lambda s: F.length(s)),
+        start=lambda sentences: F.transform(sentences, lambda s, i: F.when(i == 0, 1.0).otherwise(0.0)),
+        **WORDS, **ROUNDS,
+    )
+    rows = exploded_structs(ranked, ["doc_id"], "ranked")
+    return rows.select("doc_id", "idx", F.round("weight", 9).alias("weight"), "rank")
+
+
 def textrank_custom_similarity(spark, sf_dir):
     """Sentences ranked under a caller's own similarity, by the distributed iteration."""
     nodes, links = graph.sentence_graph(
         word_lists(spark, sf_dir), similarity=lambda shared, n_a, n_b: shared / (n_a + n_b)
     )
-    scores = graph.pagerank(nodes, links, max_iter=30, tol=0)  # the option of a fixed number of rounds
+    scores = graph.pagerank(nodes, links, **ROUNDS)
     return scores.select(F.col("graph").alias("doc_id"), F.col("node").alias("idx"), F.round("score", 9).alias("weight"))
 
 
@@ -542,7 +561,7 @@ ALL = [
     drop_doc_numbers, sentence_split, sentence_words, parse_keyword_line, han_tokens, han_cover,
     term_frequency, document_frequency, tfidf, count_vectors, idf_vectors, hashing_tf, hashing_tf_totals,
     word_vectors, list_concat_by_key,
-    sentence_graph_edges, textrank_scores, textrank_summary, textrank_custom_similarity, token_window_pairs,
+    sentence_graph_edges, textrank_scores, textrank_summary, textrank_personal, textrank_custom_similarity, token_window_pairs,
     word_vertices, word_graph_edges, keyword_rank, corpus_keyword_rank,
     topic_argmax, doc_similarity_kl_top5, doc_similarity_euclid_top5, doc_similarity_index_kl, doc_similarity_index_euclid,
     lda_topics, topics_count_idf, topics_hashing_idf, topic_distribution, topics_parquet_roundtrip, model_roundtrip,

@@ -56,11 +56,16 @@ def score_sentences(
     alpha: float = 0.85,
     max_iter: int = 100,
     tol: float = 1e-6,
+    teleport: Callable[[Column], Column] | None = None,
+    dangling: Callable[[Column], Column] | None = None,
+    start: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """``(doc_id, ranked array<struct<rank, idx, sentence, weight>>)``, best sentence first.
 
     Splitting, scoring and ordering all happen inside the document's row: there is no
-    shuffle. Equal scores (to 9 places) keep sentence order.
+    shuffle. Equal scores (to 9 places) keep sentence order. ``teleport``, ``dangling`` and ``start`` make an array of
+    weights from a document's array of sentences: where jumps land, where the mass of sentences without links goes (where jumps
+    land, unless given), and the scores to begin with.
     """
     content = F.col("content")
     if segment is None:
@@ -77,7 +82,14 @@ def score_sentences(
         )
     rank = kernels.sentence_ranker(alpha, max_iter, tol)
     split = docs.select("doc_id", text.sentences(content, delimiters).alias("sentences"), words.alias("words"))
-    scored = split.select("doc_id", "sentences", kernels.on_columns(rank, "words").alias("scores"))
+    if teleport or dangling or start:
+        none = F.lit(None).cast("array<double>")
+        weights = {name: (make(F.col("sentences")).cast("array<double>") if make else none) for name, make in (("_teleport", teleport), ("_dangling", dangling), ("_start", start))}
+        split = split.select("*", *(column.alias(name) for name, column in weights.items()))
+        scores = kernels.on_columns(kernels.personal_sentence_ranker(alpha, max_iter, tol), "words", *weights)
+    else:
+        scores = kernels.on_columns(rank, "words")
+    scored = split.select("doc_id", "sentences", scores.alias("scores"))
     return scored.select("doc_id", in_order(F.col("scores"), F.col("sentences")).alias("ranked"))
 
 

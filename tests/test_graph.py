@@ -105,6 +105,26 @@ def test_kernel_matches_dense_pagerank(corpus, max_iter, tol):
         assert row["s"] == pytest.approx(list(want), abs=1e-12)
 
 
+def test_personal_vectors_match_dense_pagerank(corpus):
+    from inkwell.functions import kernels
+
+    docs, df = corpus
+    rank = kernels.personal_sentence_ranker(max_iter=60, tol=0)
+    given = df.withColumn("t", F.transform("words", lambda w, i: (i % 3).cast("double"))).withColumn("d", F.transform("words", lambda w: F.size(w).cast("double"))).withColumn("s", F.lit(None).cast("array<double>"))
+    for row in given.select("doc_id", rank("words", "t", "d", "s").alias("mine"), rank("words", "s", "s", "t").alias("even")).collect():
+        weights = sentence_weights(docs[row["doc_id"]])
+        n = len(weights)
+        scale = lambda v: np.array(v, float) / sum(v) if sum(v) else np.full(n, 1 / n)
+        out = weights.sum(axis=1) if n else np.zeros(0)
+        step = np.divide(weights, out[:, None], out=np.zeros_like(weights), where=out[:, None] > 0) if n else weights
+        x, p, d = np.full(n, 1 / n) if n else out, scale([i % 3 for i in range(n)]) if n else out, scale([len(w) for w in docs[row["doc_id"]]]) if n else out
+        y = p
+        for _ in range(60 if n else 0):
+            x = 0.85 * (x @ step + x[out == 0].sum() * d) + 0.15 * p
+            y = 0.85 * (y @ step + y[out == 0].sum() / n) + 0.15 / n
+        assert row["mine"] == pytest.approx(list(x), abs=1e-12) and row["even"] == pytest.approx(list(y), abs=1e-12)
+
+
 def test_kernel_chunks_do_not_matter(corpus, monkeypatch):
     import pyarrow as pa
 
