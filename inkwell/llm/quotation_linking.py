@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from inkwell.llm.jaccard_join import flattened
 from inkwell.session import materialize
 
+ELSEWHERE = 12  # characters of a whole quoted passage from which it is looked for in other conversations
 QUOTE = re.compile(r"^[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"^[^\n]*\b(?:wrote|schrieb|écrit|escribió) ?:[ \t]*$", re.I)
 
@@ -55,7 +56,7 @@ def parse(text: str) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip(), [(depth, "\n".join(lines)) for depth, lines in runs if depth and normalised(" ".join(lines))]
 
 
-PARSED = "conv_id long, turn long, role string, body string, n_quotes int, max_depth int, own array<struct<digest:string,size:int>>, quotes array<struct<passage:int,depth:int,digest:string,size:int>>"
+PARSED = "conv_id long, turn long, role string, body string, n_quotes int, max_depth int, own array<struct<digest:string,size:int>>, quotes array<struct<passage:int,depth:int,digest:string,size:int,whole:boolean>>"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def parsed(messages: DataFrame) -> DataFrame:
 
     def parse_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_type = pa.list_(pa.struct([("digest", pa.string()), ("size", pa.int32())]))
-        quote_type = pa.list_(pa.struct([("passage", pa.int32()), ("depth", pa.int32()), ("digest", pa.string()), ("size", pa.int32())]))
+        quote_type = pa.list_(pa.struct([("passage", pa.int32()), ("depth", pa.int32()), ("digest", pa.string()), ("size", pa.int32()), ("whole", pa.bool_())]))
         for batch in batches:
             bodies, counts, depths, own, quotes = [], [], [], [], []
             for text in batch.column(3).to_pylist():
@@ -72,7 +73,7 @@ def parsed(messages: DataFrame) -> DataFrame:
                 counts.append(len(passages))
                 depths.append(max((d for d, _ in passages), default=0))
                 own.append([{"digest": d, "size": n} for d, n in units(body).items()])
-                quotes.append([{"passage": i, "depth": depth, "digest": d, "size": n} for i, (depth, p) in enumerate(passages) for d, n in units(p).items()])
+                quotes.append([{"passage": i, "depth": depth, "digest": d, "size": n, "whole": n == len(normalised(p))} for i, (depth, p) in enumerate(passages) for d, n in units(p).items()])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], pa.array(bodies, pa.string()), pa.array(counts, pa.int32()), pa.array(depths, pa.int32()), pa.array(own, own_type), pa.array(quotes, quote_type)],
                 ["conv_id", "turn", "role", "body", "n_quotes", "max_depth", "own", "quotes"],
@@ -93,13 +94,13 @@ def quote_links(messages: DataFrame) -> DataFrame:
     points = quoted.select("conv_id", "digest", "turn", F.lit(None).cast("long").alias("said")).distinct()
     before = Window.partitionBy("conv_id", "digest").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     near = events.unionByName(points).withColumn("_near", F.max("said").over(before)).where("said IS NULL").select("conv_id", "digest", "turn", "_near")
-    # Elsewhere: the first message of all that says it.
+    # Elsewhere, and only for whole passages that are no commonplace: the first message of all that says it.
     first = said.join(quoted.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("conv_id", "turn")).alias("_first"))
     here = F.struct(F.col("conv_id").alias("conv_id"), F.col("turn").alias("turn"))
     found = (
         quoted.join(near, ["conv_id", "digest", "turn"], "left")
         .join(first, "digest", "left")
-        .withColumn("_to", F.when(F.col("_near").isNotNull(), F.struct("conv_id", F.col("_near").alias("turn"))).when(F.col("_first") < here, F.col("_first")))
+        .withColumn("_to", F.when(F.col("_near").isNotNull(), F.struct("conv_id", F.col("_near").alias("turn"))).when(F.col("whole") & (F.col("size") >= ELSEWHERE) & (F.col("_first") < here), F.col("_first")))
         .where("_to IS NOT NULL")
     )
     # Per passage the message with most matched characters; of passages the least deep, then the best matched.
@@ -140,7 +141,8 @@ def conversations(messages: DataFrame, rows_per_part: int = 500_000) -> DataFram
     root_turn, position.
 
     ``messages`` has conv_id, turn, role, text. ``linked_by`` is 'quote', 'order' or NULL for roots. A NULL text is
-    empty. Messages without conv_id or turn are roots of their own, with NULL links and position. Messages
+    empty. A quoted line, paragraph or passage is looked for earlier in its conversation, the last message that says it; only a whole
+    passage of at least ``ELSEWHERE`` characters is looked for elsewhere. Messages without conv_id or turn are roots of their own, with NULL links and position. Messages
     that repeat a turn reply to the turn before it. Threads follow replies, across conversations where a quote leads there;
     in a thread (root), ordering by conversation and position puts every reply behind what it answers."""
     rows = materialize(parsed(messages), "parsed")

@@ -19,9 +19,9 @@ def test_parse():
 
 
 def test_replies_follow_quotes_then_order(spark):
-    rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "bot", "> Hello there\n> How are you?\nFine."), (1, 2, "user", "A wrote:\n> Fine.\n>> How are you?\nok"),
-            (1, 3, "bot", "> hello   THERE\nstill"), (2, 0, "user", "> Fine.\nelsewhere"), (2, 1, None, None), (2, 2, "user", ""), (2, 2, "user", "dup"),
-            (None, 1, "x", "lost"), (3, None, None, "> Fine."), (3, 5, "u", "> never said")]
+    rows = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "bot", "> Hello there\n> How are you?\nFine, and thank you."), (1, 2, "user", "A wrote:\n> Fine, and thank you.\n>> How are you?\nok"),
+            (1, 3, "bot", "> hello   THERE\nstill"), (2, 0, "user", "> Fine, and thank you.\nelsewhere"), (2, 1, None, None), (2, 2, "user", ""), (2, 2, "user", "dup"),
+            (None, 1, "x", "lost"), (3, None, None, "> Fine, and thank you."), (3, 5, "u", "> never said")]
     got = {(r.conv_id, r.turn, r.body): r for r in conversations(made(spark, rows)).collect()}
     link = {k[:2]: (r.reply_conv, r.reply_turn, r.linked_by, r.root_conv, r.root_turn) for k, r in got.items()}
     assert len(got) == len(rows)
@@ -29,7 +29,7 @@ def test_replies_follow_quotes_then_order(spark):
     assert link[1, 3] == (1, 0, "quote", 1, 0) and link[2, 0] == (1, 1, "quote", 1, 0) and link[2, 1] == (2, 0, "order", 1, 0)
     assert link[2, 2] == (2, 1, "order", 1, 0) and link[None, 1] == (None, None, None, None, 1) and link[3, 5] == (None, None, None, 3, 5)
     assert sorted(r.position for r in got.values() if r.conv_id == 2) == [1, 2, 3, 4]
-    assert got[1, 1, "Fine."].n_quotes == 1 and got[1, 2, "ok"].max_depth == 2
+    assert got[1, 1, "Fine, and thank you."].n_quotes == 1 and got[1, 2, "ok"].max_depth == 2
     assert conversations(made(spark, [])).count() == 0
 
 
@@ -64,3 +64,9 @@ def test_query_and_round_trip_through_quotes(spark, small):
             assert r.linked_by == "quote" and r.reply_conv == conv and said[conv, r.reply_turn] == texts[conv, turn - 1].text
             assert rows[conv, turn].linked_by == "order" and rows[conv, turn].reply_turn == turn - 1
         said[conv, turn] = texts[conv, turn].text
+
+
+def test_commonplaces_do_not_join_conversations(spark):
+    rows = [(1, 0, "u", "yes"), (1, 1, "a", "a longer sentence of its own\nyes"), (2, 0, "u", "> yes\nno"), (2, 1, "a", "> a longer sentence of its own\n> yes\nso"), (2, 2, "u", "> a longer sentence of its own\nand")]
+    got = {(r.conv_id, r.turn): (r.reply_conv, r.reply_turn, r.linked_by) for r in conversations(made(spark, rows)).collect()}
+    assert got[2, 0] == (None, None, None) and got[2, 1] == (1, 1, "quote") and got[2, 2] == (1, 1, "quote")
