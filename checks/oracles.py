@@ -380,4 +380,7 @@ FROM listed LEFT JOIN known USING (r)"""
     sql["han_cover"] = f"""
 WITH t AS (SELECT doc_id, regexp_replace(translate(lower(text), '{latin}', '{chars}'), '{SPACE}+', '', 'g') AS c FROM documents)
 SELECT doc_id, md5(array_to_string(coalesce(regexp_extract_all(c, '{runs}'), []), '')) AS spelled FROM t"""
+    sql["combine_lengths"] = """
+SELECT source, count(*) AS docs, coalesce(sum(length(text)), 0)::BIGINT AS chars, max(length(text))::INTEGER AS longest
+FROM documents GROUP BY source"""
     return sql

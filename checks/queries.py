@@ -295,6 +295,23 @@ def list_concat_by_key(spark, sf_dir):
     return aggregates.concat_lists(lists, "source", "tokens", "doc_id").withColumnRenamed("value", "token")
 
 
+def _longest(a, b):
+    return max(a, b, key=lambda x: -1 if x is None else x)
+
+
+def combine_lengths(spark, sf_dir):
+    """A caller's own three functions: documents, characters and longest text of every source."""
+    rows = table(spark, sf_dir, "documents").select("source", F.length("text").alias("size"))
+    found = aggregates.combine_by_key(
+        rows, "source", "size",
+        create=lambda n: {"docs": 1, "chars": n or 0, "longest": n},
+        merge_value=lambda c, n: {"docs": c["docs"] + 1, "chars": c["chars"] + (n or 0), "longest": _longest(c["longest"], n)},
+        merge_combiners=lambda a, b: {"docs": a["docs"] + b["docs"], "chars": a["chars"] + b["chars"], "longest": _longest(a["longest"], b["longest"])},
+        combiner_type="struct<docs:bigint,chars:bigint,longest:int>",
+    )
+    return found.select("source", "combined.docs", "combined.chars", "combined.longest")
+
+
 # Graph ranking
 
 
@@ -468,27 +485,26 @@ def topic_distribution(spark, sf_dir):
 
 
 def _sharded(spark, sf_dir, **options):
-    training = materialize(_training(spark, sf_dir).select("doc_id", "tokens"), "training")
-    return training, sharded_topics.fitted(training, **{"k": 10, "rounds": 5, **options})
+    return sharded_topics.fitted(_training(spark, sf_dir).select("tokens"), **{"k": 10, "rounds": 5, **options})
 
 
 def sharded_topic_words(spark, sf_dir):
     """Every term of a trained model with what its topics hold of it, which together is its number of occurrences."""
-    _, model = _sharded(spark, sf_dir)
+    model = _sharded(spark, sf_dir)
     held = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w - model.eta)
     return model.topics.select("term", F.round(held, 4).alias("held"))
 
 
 def sharded_topic_idf_words(spark, sf_dir):
     """The same, trained on counts times inverse document frequency."""
-    _, model = _sharded(spark, sf_dir, weighting="tfidf")
+    model = _sharded(spark, sf_dir, weighting="tfidf")
     held = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w - model.eta)
     return model.topics.select("term", F.round(held, 3).alias("held"))
 
 
 def sharded_topic_shape(spark, sf_dir):
     """Per topic: its number of described terms, whether their weights fall, and whether it is a distribution over all terms."""
-    _, model = _sharded(spark, sf_dir)
+    model = _sharded(spark, sf_dir)
     described = model.describe(15).withColumn("falls", F.coalesce(F.lag("weight").over(Window.partitionBy("topic").orderBy("pos")) >= F.col("weight"), F.lit(True)))
     whole = model.topics.select(F.posexplode("weights").alias("topic", "w")).groupBy("topic").agg(F.round(F.sum("w") / F.sum("w"), 6).alias("share"), F.min("w").alias("least"))
     shape = described.groupBy("topic").agg(F.count("*").alias("terms"), F.min("falls").alias("falls"), F.sum("weight").alias("top"))
@@ -497,7 +513,7 @@ def sharded_topic_shape(spark, sf_dir):
 
 def sharded_topic_labels(spark, sf_dir):
     """Train on the documents, label turns and pages: known tokens, whether shares add up, whether the label is the largest share."""
-    _, model = _sharded(spark, sf_dir)
+    model = _sharded(spark, sf_dir)
     turns = table(spark, sf_dir, "conversations").select(F.format_string("turn %d %d", "conv_id", "turn").alias("doc_id"), F.col("text").alias("content"))
     pages = table(spark, sf_dir, "pages").select(F.format_string("page %d", "page_id").alias("doc_id"), F.col("html").alias("content"))
     both = tokens.tokenize(turns.unionByName(pages), stop_words=STOP_WORDS, **TOKENS)
@@ -509,7 +525,7 @@ def sharded_topic_labels(spark, sf_dir):
 
 def topics_label_compare(spark, sf_dir):
     """One job: train on the documents, label turns and benchmark items, and find every item's nearest turns by their topics."""
-    training, model = _sharded(spark, sf_dir)
+    model = _sharded(spark, sf_dir)
     turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), F.col("text").alias("content"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("content"))
     found = topic_modelling.label_and_compare(model, *(tokens.tokenize(d, stop_words=STOP_WORDS, **TOKENS) for d in (items, turns)), path=scratch_path(spark, "index"))
@@ -560,7 +576,7 @@ ALL = [
     tokenize, token_filter, tokens_stopword_anti, tokens_tag_filter, strip_whitespace, extract_titles,
     drop_doc_numbers, sentence_split, sentence_words, parse_keyword_line, han_tokens, han_cover,
     term_frequency, document_frequency, tfidf, count_vectors, idf_vectors, hashing_tf, hashing_tf_totals,
-    word_vectors, list_concat_by_key,
+    word_vectors, list_concat_by_key, combine_lengths,
     sentence_graph_edges, textrank_scores, textrank_summary, textrank_personal, textrank_custom_similarity, token_window_pairs,
     word_vertices, word_graph_edges, keyword_rank, corpus_keyword_rank,
     topic_argmax, doc_similarity_kl_top5, doc_similarity_euclid_top5, doc_similarity_index_kl, doc_similarity_index_euclid,
