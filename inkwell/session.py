@@ -89,6 +89,13 @@ def working_tables(spark: SparkSession):
         block.close()
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables of the enclosing block, if there is one, that nothing will read again."""
+    block = _BLOCK.get()
+    if block is not None:
+        block.drop(*tables)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader over it.
 
