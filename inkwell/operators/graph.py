@@ -16,7 +16,7 @@ from inkwell.functions import kernels, text
 from inkwell.operators.joins import SHARD_ROWS, join_counted, shards_for
 from inkwell.operators.rows import exploded, exploded_structs
 from inkwell.operators.tokens import word_graph_edges, word_vertices
-from inkwell.session import enable_checkpoints, materialize, planned_layout
+from inkwell.session import checkpoint_path, delete_path, enable_checkpoints, materialize, planned_layout, working_tables
 
 TIE_DIGITS = 9
 
@@ -190,9 +190,14 @@ def pagerank(
     A node without links only ever receives the even share, the same as every other such
     node of its graph, so the dangling mass travels as a column and is never summed up.
     Each round ends in a checkpoint of the node table: the plan stays one round long, and
-    a lost executor costs at most one round.
+    a lost executor costs at most one round. A checkpoint goes when the next one is written.
     """
     enable_checkpoints(nodes.sparkSession)
+    with working_tables(nodes.sparkSession) as work:
+        return work.keep(_ranked(nodes, links, alpha, max_iter, tol, shard_rows), "ranked")
+
+
+def _ranked(nodes: DataFrame, links: DataFrame, alpha: float, max_iter: int, tol: float, shard_rows: int) -> DataFrame:
     end = F.struct("graph", "node").alias("end")
     out = links.groupBy("graph", F.col("src").alias("node")).agg(F.sum("weight").alias("out"), F.count("*").alias("links"))
     # Written down before it is used twice, which also fixes the ids.
@@ -228,8 +233,12 @@ def _iterate(nodes, links, link_key, alpha, max_iter, tol, shard_rows) -> DataFr
     state = nodes.repartition(partitions, "id").select(
         "*", start.alias("score"), start.alias("even"), F.lit(False).alias("finished")
     )
+    written = None
     for _ in range(max_iter):
         state = _moved(state, _received(state, links, link_key), alpha).checkpoint()
+        before, written = written, checkpoint_path(state)
+        if before:
+            delete_path(nodes.sparkSession, before)
         if tol > 0:
             change = F.sum(F.abs(F.col("score") - F.col("previous")))
             changed = state.groupBy("graph").agg(F.max("n").alias("rows"), change.alias("change"))
@@ -239,6 +248,8 @@ def _iterate(nodes, links, link_key, alpha, max_iter, tol, shard_rows) -> DataFr
             state = join_counted(state.drop("finished"), settled, "graph", "id", F.col("rows"), shard_rows)
     result = materialize(state.select("id", "score"), "rank-scores")
     links.unpersist()
+    if written:
+        delete_path(nodes.sparkSession, written)
     return result
 
 

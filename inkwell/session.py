@@ -12,6 +12,9 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
@@ -23,9 +26,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="inkwell-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if "folder" not in _LOCAL:  # the setting itself cannot be changed in a running session
+        _LOCAL["folder"] = tempfile.mkdtemp(prefix="inkwell-")
+    return _LOCAL["folder"]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -43,6 +46,12 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def checkpoint_path(df: DataFrame) -> str | None:
+    """Where the files of a frame returned by ``checkpoint()`` lie."""
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    return file.get() if file.isDefined() else None
+
+
 class WorkingTables:
     """The tables written inside one ``working_tables`` block."""
 
