@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-WINDOW_BYTES = 1 << 21  # working arrays are made for about this many bytes at a time
+WINDOW_BYTES = 1 << 19  # working arrays are made for about this many bytes at a time
 
 
 BATCH_BYTES = 4 << 20  # of texts that travel to a Python worker at a time, unless the session says otherwise

@@ -158,7 +158,7 @@ def _bin(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=4).digest(), "little") % BINS
 
 
-def bins(tokens: list[bytes], known: dict[bytes, list[list[int]]]) -> np.ndarray:
+def bins(tokens: list[bytes], known: dict[bytes, np.ndarray]) -> np.ndarray:
     """Feature bins of every token of a chain, its neighbours' included; -1 where there is none."""
     own = []
     for token in tokens:
@@ -166,16 +166,14 @@ def bins(tokens: list[bytes], known: dict[bytes, list[list[int]]]) -> np.ndarray
             if len(known) > 200_000:
                 known.clear()
             names = features(token)
-            known[token] = [[_bin(f"{place}{x}") for x in names] for place in (0, -1, 1)]
+            known[token] = np.array([[_bin(f"{place}{x}") for x in names] for place in (0, -1, 1)], np.int32)
         own.append(known[token])
-    n, width = len(own), 6
+    each = np.stack(own)
+    n, width = len(own), each.shape[2]
     out = np.full((n, 3 * width), -1, np.int64)
-    for i in range(n):
-        out[i, :width] = own[i][0]
-        if i:
-            out[i, width : 2 * width] = own[i - 1][1]
-        if i + 1 < n:
-            out[i, 2 * width :] = own[i + 1][2]
+    out[:, :width] = each[:, 0]
+    out[1:, width : 2 * width] = each[:-1, 1]
+    out[:-1, 2 * width :] = each[1:, 2]
     return out
 
 
