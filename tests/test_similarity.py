@@ -117,3 +117,25 @@ def test_vector_csv(spark, tmp_path):
     write_vector_csv(rows, str(tmp_path / "v"))
     back = read_vector_csv(spark, str(tmp_path / "v"), rendered_ids=True)
     assert sorted(map(tuple, back.collect())) == [("x", 1, [0.25, 0.75]), ("y", None, [0.0, 1e-9])]
+
+
+@pytest.mark.parametrize("metric", ["kl", "euclid"])
+def test_copies_follow_the_rows_and_not_the_cells(spark, metric):
+    """Of vectors without clusters every cell is visited: a query goes once to each of a bounded number of groups."""
+    rng = np.random.default_rng(5)
+    points = rng.random((1200, 6)) + 0.05
+    points[:400] = points[0] + rng.random((400, 6)) * 1e-3  # one cell larger than a group
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)]
+    df = spark.createDataFrame(rows, "id long, topic_distribution array<double>")
+    usable = similarity.usable_vectors(df, "id", "topic_distribution", metric)
+    side = similarity._side(1200, 4)
+    visiting, placed, _ = similarity._in_cells(usable, usable, 5, metric, 256, 6, side)
+    assert visiting.count() <= 3 * similarity.GRID * 1200
+    assert placed.groupBy("group").count().agg(F.max("count")).first()[0] <= 2 * side
+    got = {}
+    for row in similarity.nearest(df, df, 5, metric, candidate_block=4, query_block=64).orderBy("id1", "rank").collect():
+        got.setdefault(row["id1"], []).append(row["id2"])
+    unit = points / points.sum(axis=1, keepdims=True)
+    away = kernels.kl_matrix(unit, unit) if metric == "kl" else np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2))
+    key = np.round(np.maximum(away, 0), 9)
+    assert got == {i: list(np.lexsort((np.arange(1200), key[i]))[:5]) for i in range(1200)}
