@@ -91,12 +91,14 @@ def learn(x: np.ndarray, y: np.ndarray, languages: list[str], ridge: float = 0.1
     codes = codewords(len(languages))
     share = 1.0 / np.maximum(np.bincount(y, minlength=len(languages)), 1)
     size = x.shape[1] + 1
-    gram, aim = ridge * 1e-2 * np.eye(size), np.zeros((size, codes.shape[1]))
+    gram, aim = np.zeros((size, size)), np.zeros((size, codes.shape[1]))
+    np.fill_diagonal(gram, ridge * 1e-2)
     blocks = [slice(i, i + 500) for i in range(0, len(x), 500)]
     for block in blocks:  # rows stay small floats; only a block of them is widened at a time
         x1 = np.hstack([x[block], np.ones((len(x[block]), 1))]).astype(np.float64)
         weighted = x1 * share[y[block], None]
-        gram += x1.T @ weighted
+        for i in range(0, size, 256):  # in strips, so that there is one matrix of this size and never two
+            gram[i : i + 256] += x1[:, i : i + 256].T @ weighted
         aim += weighted.T @ codes[y[block]]
     weights = np.linalg.solve(gram, aim)
     right = np.concatenate([np.sign(x[b].astype(np.float64) @ weights[:-1] + weights[-1]) == codes[y[b]] for b in blocks]).astype(float)
@@ -150,10 +152,24 @@ def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS, id_col: str = "doc_
                 )
 
     rows = small_batches(drawn).select("lang", "text", "_id").mapInArrow(featured, "lang string, x binary, id long").dropDuplicates(["lang", "id"]).toArrow()
-    x = np.stack([np.frombuffer(b, np.float16) for b in rows.column("x").to_pylist()])
     y = np.array([languages.index(v) for v in rows.column("lang").to_pylist()])
     order = np.lexsort((rows.column("id").to_numpy(), y))
-    return learn(x[order], y[order], languages)
+    x = feature_rows(rows.column("x"), order)
+    del rows  # the driver holds the features once
+    return learn(x, y[order], languages)
+
+
+def feature_rows(column: pa.ChunkedArray, order: np.ndarray, bins: int = BINS) -> np.ndarray:
+    """The rows of a column of half floats as a matrix, in ``order``, without a copy of each row by itself."""
+    place, at = np.empty(len(order), np.int64), 0
+    place[order] = np.arange(len(order))
+    out = np.empty((len(order), bins), np.float16)
+    for chunk in column.chunks:
+        if len(chunk):
+            first = np.frombuffer(chunk.buffers()[1], np.int32, count=chunk.offset + 1)[chunk.offset]
+            out[place[at : at + len(chunk)]] = np.frombuffer(chunk.buffers()[2], np.float16, len(chunk) * bins, int(first)).reshape(-1, bins)
+        at += len(chunk)
+    return out
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
