@@ -203,3 +203,24 @@ def test_segmented_summaries(spark):
     docs = spark.createDataFrame([(1, "城市轨道交通建设。的的的的的的。城市的轨道交通规划！")], "doc_id long, content string")
     got = summaries(docs, num=2, segment=han.segmenter(lexicon)).first()["html"]
     assert got == ["城市轨道交通建设", "城市的轨道交通规划"]
+
+
+@pytest.mark.parametrize(("max_iter", "tol"), [(4, 0), (20, 1e-2)])
+def test_graphs_ranked_in_a_task_and_by_rounds_agree(spark, max_iter, tol):
+    """Many small graphs, nodes without links, rows that repeat and links that lead nowhere; one, some or no graph in a task."""
+    rng = np.random.default_rng(11)
+    nodes, links = [], []
+    for g in range(8):
+        nodes += [(g, f"n{i}") for i in range(g + 2)] + ([(g, "n0")] if g % 3 == 0 else [])
+        pairs = {tuple(sorted(rng.integers(0, g + 1, 2).tolist())) for _ in range(2 * g)}
+        links += [(g, f"n{x}", f"n{y}", float(a + b + 1)) for a, b in pairs for x, y in {(a, b), (b, a)}]
+    links += [(3, "n0", None, 1.0), (99, "n0", "n1", 1.0)]
+    nodes = spark.createDataFrame([*nodes, (None, "n0"), (2, None)], "graph int, node string")
+    links = spark.createDataFrame(links, "graph int, src string, dst string, weight double")
+    found = []
+    for whole in (500_000, 12, 0):
+        rows = graph.pagerank(nodes, links, max_iter=max_iter, tol=tol, whole_links=whole).collect()
+        found.append(sorted(((r["graph"], r["node"] or "", r["score"]) for r in rows)))
+    assert [r[:2] for r in found[0]] == [r[:2] for r in found[1]] == [r[:2] for r in found[2]]
+    for other in found[1:]:
+        assert [r[2] for r in found[0]] == pytest.approx([r[2] for r in other], abs=1e-12)
