@@ -1,17 +1,63 @@
-"""Topic models: one pipeline is fitted on a training corpus and applied to every other."""
+"""Topic models: one pipeline is fitted on a training corpus and applied to every other.
+
+Vocabulary and topics are tables, trained in blocks as in ``sharded_topics``: neither the driver nor a task ever holds them.
+"""
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA, DistributedLDAModel, LDAModel
-from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import HashingTF
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.functions.vectors import argmax
-from inkwell.operators import features
-from inkwell.session import enable_checkpoints
+from inkwell.functions import term_blocks, variational
+from inkwell.operators import features, sharded_topics
+from inkwell.operators.rows import numbered
+from inkwell.operators.sharded_topics import ShardedTopics
+from inkwell.session import delete_path, drop_tables, materialize, scratch_path, shuffles_deleted, working_tables
+
+BATCH_SHARE, OFFSET, DECAY = 0.05, 1024, 0.51  # of online training
+LEAST_BATCH_ENTRIES = 50_000  # of a block of a batch
+
+
+class Counts:
+    """The stage that counts terms: ``terms`` (term, index, df), most frequent first, ties by term."""
+
+    def __init__(self, terms: DataFrame):
+        self.terms = terms
+
+    @property
+    def vocabulary(self) -> list[str]:
+        """All terms, collected to the driver."""
+        return [row["term"] for row in self.terms.orderBy("index").select("term").collect()]
+
+
+class Weights:
+    """The stage that weighs terms by inverse document frequency: ``idf`` (term, idf)."""
+
+    def __init__(self, terms: DataFrame, n_docs: int):
+        self.idf = terms.select("term", sharded_topics.idf_of("df", n_docs).alias("idf"))
+
+
+class Topics(ShardedTopics):
+    """The stage that holds the topics, as they were trained on ``features`` or on their weights, ``idf``."""
+
+    def getFeaturesCol(self) -> str:
+        return "idf" if "idf" in self.topics.columns else "features"
+
+
+class TopicModel:
+    """A trained pipeline at ``path``: stages that count, weigh and infer."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        row, terms = spark.read.parquet(f"{path}/counted").first(), spark.read.parquet(f"{path}/terms")
+        self.buckets, self.n_docs = row["buckets"], row["n_docs"]
+        counts = features.hashing_tf(self.buckets) if self.buckets else Counts(terms)
+        self.stages = [counts, Weights(terms, self.n_docs), Topics(spark, path)]
 
 
 def fit_topics(
@@ -24,86 +70,208 @@ def fit_topics(
     seed: int = 1,
     vocab_size: int | None = None,
     min_df: int = 1,
-    partitions: int | None = None,
-) -> PipelineModel:
-    """Vectorise, weight and train: a ``PipelineModel`` that takes ``tokens``.
+    block_entries: int | None = None,
+) -> TopicModel:
+    """Count, weigh and train: a ``TopicModel`` that takes ``tokens``.
 
     ``weighting="count"`` trains on term counts; ``"tfidf"`` on TF-IDF weights. With
-    ``"count"`` an IDF column is still produced. ``vectorizer`` is ``"count"`` or
-    ``"hashing"``. ``optimizer="em"`` spreads a document-term graph over the executors;
-    ``"online"`` keeps only a (k x vocabulary) matrix between mini-batches and is the
-    choice for large corpora. Every term of the corpus is in the vocabulary unless ``vocab_size``
-    names fewer; the driver then holds a (k x vocabulary) matrix of doubles.
-
-    Input order affects training, so documents are placed by id before it. Trainings still
-    differ slightly where terms tie on their count (see ``features.count_vectorizer``).
+    ``"count"`` the terms' IDF is still produced. ``vectorizer`` is ``"count"`` or
+    ``"hashing"``. ``optimizer="em"`` parts every occurrence of a term in a document among the topics
+    in each of ``max_iter`` rounds over the corpus; ``"online"`` takes ``max_iter`` mini-batches of a
+    twentieth of the documents, drawn with replacement, and is the choice for large corpora. Every term of the
+    corpus is in the vocabulary unless ``vocab_size`` names fewer.
+
+    Both follow Spark's trainers of these names. What is random comes from hashes of terms and documents, so that the result does
+    not depend on how rows are laid out, but for rounding; copies of a document are drawn together.
     """
-    spark = tokenized.sparkSession
-    enable_checkpoints(spark)
-    partitions = partitions or spark.sparkContext.defaultParallelism
-    placed = tokenized.repartition(partitions, "doc_id").sortWithinPartitions("doc_id").persist()
-    try:
-        if vectorizer == "count":
-            counts = features.count_vectorizer(placed, vocab_size, min_df)
+    spark, path = tokenized.sparkSession, scratch_path(tokenized.sparkSession, "topic-model")
+    buckets = (vocab_size or features.BUCKETS) if vectorizer == "hashing" else None
+    with working_tables(spark) as work:
+        rows = _counted(tokenized, buckets, F.xxhash64("doc_id", "tokens"))
+        n_docs, weighted = rows.count(), weighting == "tfidf"
+        if optimizer == "em":
+            docs, terms, blocks = sharded_topics.laid_out(rows, block_entries)
+            totals = sharded_topics.vocabulary_of(terms)
         else:
-            counts = features.hashing_tf(vocab_size or features.BUCKETS)
-        weights = features.idf().fit(counts.transform(placed))
-        prepared = PipelineModel(stages=[counts, weights])
-        lda = LDA(
-            k=k, seed=seed, optimizer=optimizer, maxIter=max_iter,
-            featuresCol="idf" if weighting == "tfidf" else "features",
-        )
-        model = lda.fit(prepared.transform(placed).select("features", "idf"))
-    finally:
-        placed.unpersist()
-    if isinstance(model, DistributedLDAModel):
-        model = _local(model)
-    return PipelineModel(stages=[*prepared.stages, model])
-
-
-def _local(model: DistributedLDAModel) -> LDAModel:
-    """The trained topics without the training graph: what inference and saving need."""
-    local = model.toLocal()
-    return local.setFeaturesCol(model.getFeaturesCol())
-
-
-def describe_topics(model: PipelineModel, terms: int = 10) -> DataFrame:
+            totals = rows.select("terms", "n").mapInArrow(term_blocks.term_totals, "term string, df long, total long")
+            totals = sharded_topics.vocabulary_of(totals)
+            batch = math.ceil(BATCH_SHARE * sharded_topics.entries(rows))
+            draw = _drawn(max_iter, seed)
+            docs, terms, blocks = sharded_topics.laid_out(rows, block_entries, batch, draw, LEAST_BATCH_ENTRIES)
+        vocabulary = _vocabulary(totals, n_docs, buckets, vocab_size, min_df)
+        work.drop(rows)
+        idf = ["idf"] * weighted
+        needs = terms.join(vocabulary.select("term", "key", F.xxhash64("term").alias("h"), *idf), "term")
+        needs = materialize(needs.select("block", "idx", "key", "h", *idf), "block-terms")
+        train = _em if optimizer == "em" else _online
+        state, about = train(docs, needs, vocabulary, blocks, k, max_iter, seed, n_docs)
+        sharded_topics.save(vocabulary.join(state, "key").select("term", "weights", *idf), path, k, *about)
+        with shuffles_deleted(spark):
+            vocabulary.select("term", F.col("key").alias("index"), "df").write.parquet(f"{path}/terms")
+        spark.createDataFrame([(buckets, n_docs)], "buckets int, n_docs long").coalesce(1).write.parquet(f"{path}/counted")
+    return TopicModel(spark, path)
+
+
+def _counted(tokenized: DataFrame, buckets: int | None, *named: Column) -> DataFrame:
+    """(row, h, terms, n) of tokens, or of their buckets, written down; ``named`` is the hash, and columns to keep."""
+    tokens = F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")
+    row, h, *kept = F.monotonically_increasing_id().alias("row"), named[0].alias("h"), *named[1:]
+    if buckets is None:
+        return sharded_topics.packed(tokenized.select(row, h, *kept, tokens))
+    hashed = features.hashing_tf(buckets).transform(tokenized.withColumn("tokens", tokens))
+    vector = F.unwrap_udt("features")
+    parts = vector["indices"].cast("array<string>").alias("terms"), vector["values"].cast("array<int>").alias("n")
+    return materialize(hashed.select(row, h, *kept, *parts), "rows")
+
+
+def _vocabulary(totals: DataFrame, n_docs: int, buckets: int | None, size: int | None, min_df: int) -> DataFrame:
+    """(term, df, total, idf, key), written down. Keys follow the total, ties by term; those of buckets are their numbers."""
+    if buckets is None:
+        known = numbered(totals.where(F.col("df") >= min_df), [F.desc("total"), F.asc("term")], "key")
+        known = known.where(F.col("key") < size) if size else known
+    else:
+        every = totals.sparkSession.range(buckets).select(F.col("id").cast("string").alias("term"), F.col("id").alias("key"))
+        known = every.join(totals, "term", "left").na.fill(0)
+    return materialize(known.withColumn("idf", sharded_topics.idf_of("df", n_docs)), "vocabulary")
+
+
+def _drawn(batches: int, seed: int) -> Column:
+    """The batches that a document is in, once for each time: Poisson draws from its hash."""
+
+    def times(t: Column) -> Column:
+        u = (F.pmod(F.xxhash64("h", t, F.lit(seed)), F.lit(1 << 52)) + 0.5) / F.lit(float(1 << 52))
+        at_most = np.cumsum([math.exp(-BATCH_SHARE) * BATCH_SHARE**i / math.factorial(i) for i in range(8)])
+        return sum((u > float(p)).cast("int") for p in at_most)
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(batches - 1)), lambda t: F.array_repeat(t, times(t))))
+
+
+def _em(docs, needs, vocabulary, blocks: int, k: int, rounds: int, seed: int, n_docs: int):
+    """Expectation-maximisation: topics hold their terms' counts, documents theirs, and every round parts all counts anew by both."""
+    alpha, eta, size = 50 / k + 1, 1.1, vocabulary.count()
+    none = term_blocks.weights_table(np.zeros(0, np.int64), np.zeros((0, k)))
+
+    def begun(docs: pa.Table, known: pa.Table) -> pa.Table:
+        if not docs.num_rows or not known.num_rows:
+            return none
+        block = term_blocks.Block(docs, known)
+        held, added = variational.parted_at_random(block.n, block.starts, block.word, known["h"].to_numpy().view(np.uint64), block.hashes, k, seed)
+        return pa.concat_tables([term_blocks.states_table(docs["block"][0].as_py(), block, held), term_blocks.weights_table(known["key"].to_numpy(), added)])
+
+    def going(totals: np.ndarray):
+        def moved(docs: pa.Table, known: pa.Table) -> pa.Table:
+            if not docs.num_rows or not known.num_rows:
+                return none
+            block = term_blocks.Block(docs, known)
+            words = (block.matrix("weights") + (eta - 1)) / (totals + (eta - 1) * size)
+            held, added = variational.parted(block.n, block.starts, block.word, words, block.states.reshape(-1, k) + (alpha - 1))
+            return pa.concat_tables([term_blocks.states_table(docs["block"][0].as_py(), block, held), term_blocks.weights_table(known["key"].to_numpy(), added)])
+
+        return moved
+
+    every = range(blocks)
+    state = sharded_topics.round_of(docs, needs, vocabulary.select("key"), begun, every, k)
+    for _ in range(rounds):
+        topics, states = state.where("key >= 0"), state.where("key < 0")
+        number = -1 - F.col("key")
+        place = F.shiftright(number, 24).cast("int").alias("block"), number.bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("at")
+        both = docs.unionByName(states.select(*place, F.col("weights").alias("state")), allowMissingColumns=True)
+        before, state = state, sharded_topics.round_of(both, needs, topics, going(sharded_topics.totals_of(topics, k)), every, k)
+        drop_tables(before)
+    topics = state.where("key >= 0")
+    found = vocabulary.select("key").join(topics, "key", "left").select("key", F.coalesce("weights", F.array_repeat(F.lit(0.0), k)).alias("weights"))
+    return found, (alpha, eta, sharded_topics.totals_of(topics, k))
+
+
+def _online(docs, needs, vocabulary, blocks: int, k: int, batches: int, seed: int, n_docs: int):
+    """Variational Bayes by mini-batches: topics move towards what each batch alone would make of them, ever less; so does ``alpha``.
+
+    The table holds (weights - eta) / scale, where scale is the product of all 1 - rho, so that terms not in a batch stay as they are."""
+    eta, size, alpha, scale = 1 / k, vocabulary.count(), np.full(k, 1 / k), 1.0
+    start = F.transform(sharded_topics.initial_weights(k, seed), lambda x: x - eta)
+    state, done = materialize(vocabulary.select("key", start.alias("weights")), "topics"), 0
+
+    def batch(totals: np.ndarray, alpha: np.ndarray, scale: float, by: float):
+        def added(docs: pa.Table, known: pa.Table) -> pa.Table:
+            if not docs.num_rows or not known.num_rows:
+                return term_blocks.weights_table(np.zeros(0, np.int64), np.zeros((0, k)))
+            block = term_blocks.Block(docs, known)
+            factors = variational.topic_factors(block.matrix("weights") * scale + eta, totals)
+            gamma = variational.mixtures(block.n, block.starts, block.word, factors, alpha)
+            found = variational.statistics(gamma, block.n, block.starts, block.word, factors, block.terms)
+            some = gamma[np.bincount(np.repeat(np.arange(len(block.size)), block.size), block.n, len(block.size)) > 0]
+            mean = (variational.digamma(some) - variational.digamma(some.sum(axis=1))[:, None]).sum(axis=0)
+            about = pa.array([term_blocks.state_key(docs["block"][0].as_py(), 0)], pa.int64()), pa.array([[*mean, float(len(some))]], pa.list_(pa.float64()))
+            return pa.concat_tables([pa.table([*about], ["key", "weights"]), term_blocks.weights_table(known["key"].to_numpy(), found * by)])
+
+        return added
+
+    corpus, share = n_docs, math.ceil(BATCH_SHARE * n_docs)
+    for t in range(batches):
+        here = range(t * blocks, (t + 1) * blocks)
+        if docs.where(F.col("block").between(here.start, here.stop - 1)).isEmpty():
+            continue  # a batch without terms
+        done += 1
+        rho = (OFFSET + done) ** -DECAY
+        totals = sharded_topics.totals_of(state, k, missing=0.0) * scale + eta * size
+        after = scale * (1 - rho)
+        step = batch(totals, alpha, scale, rho * corpus / share / after)
+        before, moved = state, sharded_topics.round_of(docs, needs, state, step, here, k, so_far=state)
+        drop_tables(before)
+        state, scale = moved.where("key >= 0"), after
+        state._written_at = moved._written_at
+        means = moved.where("key < 0").agg(*(F.sum(F.col("weights")[i]) for i in range(k + 1))).first()
+        if means[k]:
+            alpha = _alpha(alpha, np.array(means[:k]) / means[k], means[k], rho)
+    found = state.select("key", F.transform("weights", lambda x: x * scale + eta).alias("weights"))
+    found = materialize(found, "topics")
+    return found, ([float(x) for x in alpha], eta, sharded_topics.totals_of(found, k))
+
+
+def _alpha(alpha: np.ndarray, mean: np.ndarray, n: float, rho: float) -> np.ndarray:
+    """A step of Newton's method towards the prior under which documents' mixtures are likeliest, if it stays positive."""
+    gradient = n * (variational.digamma(alpha.sum()) - variational.digamma(alpha) + mean)
+    c, q = n * variational.trigamma(alpha.sum()), -n * variational.trigamma(alpha)
+    b = (gradient / q).sum() / (1 / c + (1 / q).sum())
+    moved = alpha - rho * (gradient - b) / q
+    return moved if (moved > 0).all() else alpha
+
+
+def describe_topics(model: TopicModel, terms: int = 10) -> DataFrame:
     """``(topic, term_indices, words, term_weights)``, heaviest term first.
 
-    Only the k x ``terms`` indices in use are looked up in the vocabulary. Hashed
-    features have no vocabulary, so their ``words`` are NULL.
+    Hashed features have no vocabulary, so their ``words`` are NULL.
     """
-    described = model.stages[-1].describeTopics(terms)
-    vectorizer = model.stages[0]
-    if isinstance(vectorizer, CountVectorizerModel):
-        used = described.select(F.explode("termIndices").alias("i")).distinct().collect()
-        vocabulary = vectorizer.vocabulary
-        names = F.create_map(*[F.lit(x) for row in used for x in (row["i"], vocabulary[row["i"]])])
-        words = F.transform("termIndices", lambda i: names[i])
-    else:
-        words = F.lit(None).cast("array<string>")
-    return described.select(
-        "topic", F.col("termIndices").alias("term_indices"), words.alias("words"),
-        F.col("termWeights").alias("term_weights"),
-    )
+    top = model.stages[-1].describe(terms).join(model.spark.read.parquet(f"{model.path}/terms").select(F.col("term").alias("word"), "index"), "word")
+    listed = F.array_sort(F.collect_list(F.struct("pos", F.col("index").cast("int").alias("i"), "word", "weight")))
+    rows = top.groupBy("topic").agg(listed.alias("t")).orderBy("topic")
+    words = F.lit(None).cast("array<string>") if isinstance(model.stages[0], HashingTF) else F.col("t.word")
+    return rows.select("topic", F.col("t.i").alias("term_indices"), words.alias("words"), F.col("t.weight").alias("term_weights"))
 
 
-def assign_topics(model: PipelineModel, tokenized: DataFrame) -> DataFrame:
+def assign_topics(model: TopicModel, tokenized: DataFrame) -> DataFrame:
     """``(doc_id, topic_num, topic_distribution array<double>)`` for any corpus.
 
     The fitted vocabulary is used whatever the corpus. A document without a known token
     keeps its row with an all-zero distribution and a NULL topic.
     """
-    scored = model.transform(tokenized).withColumn("topic_distribution", vector_to_array("topicDistribution"))
-    return scored.select("doc_id", argmax(F.col("topic_distribution")).alias("topic_num"), "topic_distribution")
+    with working_tables(model.spark) as work:
+        rows = _counted(tokenized, model.buckets, F.lit(0).cast("long"), F.col("doc_id"))
+        labelled = model.stages[-1].labelled(rows)
+        return work.keep(labelled.select("doc_id", "topic_num", "topic_distribution"), "labelled")
+
+
+def save_model(model: TopicModel, path: str) -> None:
+    for name in ("topics", "about", "terms", "counted"):
+        model.spark.read.parquet(f"{model.path}/{name}").write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def load_model(path: str) -> TopicModel:
+    return TopicModel(SparkSession.active(), path)
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def drop(model: TopicModel) -> None:
+    delete_path(model.spark, model.path)
 
 
 def save_topics(topics: DataFrame, path: str, mode: str = "error") -> None:
