@@ -100,14 +100,13 @@ def fit_topics(
             docs, terms, blocks = sharded_topics.laid_out(rows, block_entries, batch, draw, LEAST_BATCH_ENTRIES)
         vocabulary = _vocabulary(totals, n_docs, buckets, vocab_size, min_df)
         work.drop(rows)
-        idf = ["idf"] * weighted
-        needs = terms.join(vocabulary.select("term", "key", F.xxhash64("term").alias("h"), *idf), "term")
-        needs = materialize(needs.select("block", "idx", "key", "h", *idf), "block-terms")
+        (vocabulary, size), idf = sharded_topics.sharded(vocabulary), ["idf"] * weighted
+        meets = sharded_topics.meetings(terms, vocabulary, idf)
         train = _em if optimizer == "em" else _online
-        state, about = train(docs, needs, vocabulary, blocks, k, max_iter, seed, n_docs)
-        sharded_topics.save(vocabulary.join(state, "key").select("term", "weights", *idf), path, k, *about)
+        state, about = train(docs, meets, vocabulary, size, blocks, k, max_iter, seed, n_docs)
+        sharded_topics.save(sharded_topics.unpacked(vocabulary, state, k, idf), path, k, *about)
         with shuffles_deleted(spark):
-            vocabulary.select("term", F.col("key").alias("index"), "df").write.parquet(f"{path}/terms")
+            vocabulary.select("term", "index", "df").write.parquet(f"{path}/terms")
         spark.createDataFrame([(buckets, n_docs)], "buckets int, n_docs long").coalesce(1).write.parquet(f"{path}/counted")
     return TopicModel(spark, path)
 
@@ -125,14 +124,14 @@ def _counted(tokenized: DataFrame, buckets: int | None, *named: Column) -> DataF
 
 
 def _vocabulary(totals: DataFrame, n_docs: int, buckets: int | None, size: int | None, min_df: int) -> DataFrame:
-    """(term, df, total, idf, key), written down. Keys follow the total, ties by term; those of buckets are their numbers."""
+    """(term, df, total, idf, index). Indices follow the total, ties by term; those of buckets are their numbers."""
     if buckets is None:
-        known = numbered(totals.where(F.col("df") >= min_df), [F.desc("total"), F.asc("term")], "key")
-        known = known.where(F.col("key") < size) if size else known
+        known = numbered(totals.where(F.col("df") >= min_df), [F.desc("total"), F.asc("term")], "index")
+        known = known.where(F.col("index") < size) if size else known
     else:
-        every = totals.sparkSession.range(buckets).select(F.col("id").cast("string").alias("term"), F.col("id").alias("key"))
+        every = totals.sparkSession.range(buckets).select(F.col("id").cast("string").alias("term"), F.col("id").alias("index"))
         known = every.join(totals, "term", "left").na.fill(0)
-    return materialize(known.withColumn("idf", sharded_topics.idf_of("df", n_docs)), "vocabulary")
+    return known.withColumn("idf", sharded_topics.idf_of("df", n_docs))
 
 
 def _drawn(batches: int, seed: int) -> Column:
@@ -146,67 +145,68 @@ def _drawn(batches: int, seed: int) -> Column:
     return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(batches - 1)), lambda t: F.array_repeat(t, times(t))))
 
 
-def _em(docs, needs, vocabulary, blocks: int, k: int, rounds: int, seed: int, n_docs: int):
+def _em(docs, meets, vocabulary, size: int, blocks: int, k: int, rounds: int, seed: int, n_docs: int):
     """Expectation-maximisation: topics hold their terms' counts, documents theirs, and every round parts all counts anew by both."""
-    alpha, eta, size = 50 / k + 1, 1.1, vocabulary.count()
-    none = term_blocks.weights_table(np.zeros(0, np.int64), np.zeros((0, k)))
+    alpha, eta, every = 50 / k + 1, 1.1, range(blocks)
 
     def begun(docs: pa.Table, known: pa.Table) -> pa.Table:
         if not docs.num_rows or not known.num_rows:
-            return none
+            return term_blocks.NOTHING
+        known = term_blocks.Parts(known, 1)  # the terms' hashes
         block = term_blocks.Block(docs, known)
-        held, added = variational.parted_at_random(block.n, block.starts, block.word, known["h"].to_numpy().view(np.uint64), block.hashes, k, seed)
-        return pa.concat_tables([term_blocks.states_table(docs["block"][0].as_py(), block, held), term_blocks.weights_table(known["key"].to_numpy(), added)])
+        held, added = variational.parted_at_random(block.n, block.starts, block.word, block.weights[:, 0].view(np.uint64), block.hashes, k, seed)
+        return known.returned(added, block.states_of(held))
 
     def going(totals: np.ndarray):
         def moved(docs: pa.Table, known: pa.Table) -> pa.Table:
             if not docs.num_rows or not known.num_rows:
-                return none
+                return term_blocks.NOTHING
+            known = term_blocks.Parts(known, k)
             block = term_blocks.Block(docs, known)
-            words = (block.matrix("weights") + (eta - 1)) / (totals + (eta - 1) * size)
+            words = (block.weights + (eta - 1)) / (totals + (eta - 1) * size)
             held, added = variational.parted(block.n, block.starts, block.word, words, block.states.reshape(-1, k) + (alpha - 1))
-            return pa.concat_tables([term_blocks.states_table(docs["block"][0].as_py(), block, held), term_blocks.weights_table(known["key"].to_numpy(), added)])
+            return known.returned(added, block.states_of(held))
 
         return moved
 
-    every = range(blocks)
-    state = sharded_topics.round_of(docs, needs, vocabulary.select("key"), begun, every, k)
+    hashes = materialize(vocabulary.select("key", "pos", F.array(F.xxhash64("term")).alias("weights")).groupBy("key").applyInArrow(term_blocks.packed_state, "key bigint, weights binary"), "hashes")
+    state = sharded_topics.round_of(docs, meets, hashes, begun, every, k, width=1)
     for _ in range(rounds):
         topics, states = state.where("key >= 0"), state.where("key < 0")
         number = -1 - F.col("key")
         place = F.shiftright(number, 24).cast("int").alias("block"), number.bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("at")
         both = docs.unionByName(states.select(*place, F.col("weights").alias("state")), allowMissingColumns=True)
-        before, state = state, sharded_topics.round_of(both, needs, topics, going(sharded_topics.totals_of(topics, k)), every, k)
+        before, state = state, sharded_topics.round_of(both, meets, topics, going(sharded_topics.totals_of(topics, k)), every, k)
         drop_tables(before)
     topics = state.where("key >= 0")
-    found = vocabulary.select("key").join(topics, "key", "left").select("key", F.coalesce("weights", F.array_repeat(F.lit(0.0), k)).alias("weights"))
-    return found, (alpha, eta, sharded_topics.totals_of(topics, k))
+    return topics, (alpha, eta, sharded_topics.totals_of(topics, k))
 
 
-def _online(docs, needs, vocabulary, blocks: int, k: int, batches: int, seed: int, n_docs: int):
+def _online(docs, meets, vocabulary, size: int, blocks: int, k: int, batches: int, seed: int, n_docs: int):
     """Variational Bayes by mini-batches: topics move towards what each batch alone would make of them, ever less; so does ``alpha``.
 
     The table holds (weights - eta) / scale, where scale is the product of all 1 - rho, so that terms not in a batch stay as they are."""
-    eta, size, alpha, scale = 1 / k, vocabulary.count(), np.full(k, 1 / k), 1.0
+    eta, alpha, scale, done = 1 / k, np.full(k, 1 / k), 1.0, 0
     start = F.transform(sharded_topics.initial_weights(k, seed), lambda x: x - eta)
-    state, done = materialize(vocabulary.select("key", start.alias("weights")), "topics"), 0
+    state = sharded_topics.packed_by(vocabulary.select("key", "pos", start.alias("weights")))
 
     def batch(totals: np.ndarray, alpha: np.ndarray, scale: float, by: float):
         def added(docs: pa.Table, known: pa.Table) -> pa.Table:
             if not docs.num_rows or not known.num_rows:
-                return term_blocks.weights_table(np.zeros(0, np.int64), np.zeros((0, k)))
+                return term_blocks.NOTHING
+            known = term_blocks.Parts(known, k)
             block = term_blocks.Block(docs, known)
-            factors = variational.topic_factors(block.matrix("weights") * scale + eta, totals)
+            factors = variational.topic_factors(block.weights * scale + eta, totals)
             gamma = variational.mixtures(block.n, block.starts, block.word, factors, alpha)
             found = variational.statistics(gamma, block.n, block.starts, block.word, factors, block.terms)
             some = gamma[np.bincount(np.repeat(np.arange(len(block.size)), block.size), block.n, len(block.size)) > 0]
             mean = (variational.digamma(some) - variational.digamma(some.sum(axis=1))[:, None]).sum(axis=0)
-            about = pa.array([term_blocks.state_key(docs["block"][0].as_py(), 0)], pa.int64()), pa.array([[*mean, float(len(some))]], pa.list_(pa.float64()))
-            return pa.concat_tables([pa.table([*about], ["key", "weights"]), term_blocks.weights_table(known["key"].to_numpy(), found * by)])
+            about = [(term_blocks.state_key(block.number, 0), term_blocks.bound(np.append(mean, float(len(some)))))]
+            return known.returned(found * by, about)
 
         return added
 
-    corpus, share = n_docs, math.ceil(BATCH_SHARE * n_docs)
+    share = math.ceil(BATCH_SHARE * n_docs)
     for t in range(batches):
         here = range(t * blocks, (t + 1) * blocks)
         if docs.where(F.col("block").between(here.start, here.stop - 1)).isEmpty():
@@ -215,16 +215,21 @@ def _online(docs, needs, vocabulary, blocks: int, k: int, batches: int, seed: in
         rho = (OFFSET + done) ** -DECAY
         totals = sharded_topics.totals_of(state, k, missing=0.0) * scale + eta * size
         after = scale * (1 - rho)
-        step = batch(totals, alpha, scale, rho * corpus / share / after)
-        before, moved = state, sharded_topics.round_of(docs, needs, state, step, here, k, so_far=state)
+        step = batch(totals, alpha, scale, rho * n_docs / share / after)
+        before, moved = state, sharded_topics.round_of(docs, meets, state, step, here, k, so_far=state)
         drop_tables(before)
         state, scale = moved.where("key >= 0"), after
         state._written_at = moved._written_at
-        means = moved.where("key < 0").agg(*(F.sum(F.col("weights")[i]) for i in range(k + 1))).first()
-        if means[k]:
-            alpha = _alpha(alpha, np.array(means[:k]) / means[k], means[k], rho)
-    found = state.select("key", F.transform("weights", lambda x: x * scale + eta).alias("weights"))
-    found = materialize(found, "topics")
+        found = [np.frombuffer(row["weights"]) for row in moved.where("key < 0").select("weights").collect()]  # one row a block
+        if found and (means := sum(found))[k]:
+            alpha = _alpha(alpha, means[:k] / means[k], means[k], rho)
+
+    def scaled(batches):
+        for batch in batches:
+            weights = [term_blocks.bound(np.frombuffer(x.as_buffer()) * scale + eta) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.binary())], ["key", "weights"])
+
+    found = materialize(state.mapInArrow(scaled, "key bigint, weights binary"), "topics")
     return found, ([float(x) for x in alpha], eta, sharded_topics.totals_of(found, k))
 
 
