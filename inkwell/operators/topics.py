@@ -99,8 +99,8 @@ def fit_topics(
             draw = _drawn(max_iter, seed)
             docs, terms, blocks = sharded_topics.laid_out(rows, block_entries, batch, draw, LEAST_BATCH_ENTRIES)
         vocabulary = _vocabulary(totals, n_docs, buckets, vocab_size, min_df)
-        work.drop(rows)
         (vocabulary, size), idf = sharded_topics.sharded(vocabulary), ["idf"] * weighted
+        work.drop(rows)
         meets = sharded_topics.meetings(terms, vocabulary, idf)
         train = _em if optimizer == "em" else _online
         state, about = train(docs, meets, vocabulary, size, blocks, k, max_iter, seed, n_docs)
